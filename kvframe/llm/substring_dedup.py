@@ -24,7 +24,6 @@ from .shared import Scratch, input_bytes
 
 WINDOW = 50
 BLOCK = WINDOW // 2
-OUT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
 
 def _word_hashes(block: text.Block, width: int):
@@ -103,22 +102,35 @@ def pick_later(fields: list[np.ndarray]) -> np.ndarray:
     return flags
 
 
-def remove_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaves out the words of each row's spans. (bytes.split() parts at the same bytes as Block.words().)"""
-    for block in text.blocks(batches):
-        starts, ends, first = block.words()
-        out = []
-        for r, spans in enumerate(block.columns["spans"]):
-            a, b = int(first[r]), int(first[r + 1])
-            gone = ex.span_list(spans)
-            cover = text.covered(b - a, gone[:, 0], gone[:, 1])
-            pieces = [x for i, j in zip(*text.runs(~cover), strict=True) for x in block.buf[starts[a + i] : ends[a + j - 1]].tobytes().split()]
-            out.append((block.columns["doc_id"][r], block.texts[r].decode(), b - a, int(cover.sum()), b" ".join(pieces).decode()))
-        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), OUT.types, strict=True)], schema=OUT)
+def remove_spans(digest: bool = False):
+    """mapInArrow function that leaves out the words of each row's spans. (bytes.split() parts at the same bytes as Block.words().)
+
+    Its last columns are text and kept_text, or only the kept text's SHA-256.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text.blocks(batches):
+            starts, ends, first = block.words()
+            counts, gone, kept = np.diff(first), [], []
+            for r, spans in enumerate(block.columns["spans"]):
+                a, lost = int(first[r]), ex.span_list(spans)
+                cover = text.covered(int(counts[r]), lost[:, 0], lost[:, 1])
+                gone.append(int(cover.sum()))
+                pieces = [x for i, j in zip(*text.runs(~cover), strict=True) for x in block.buf[starts[a + i] : ends[a + j - 1]].tobytes().split()]
+                joined = b" ".join(pieces)
+                kept.append(hashlib.sha256(joined).hexdigest() if digest else joined)
+            out = [pa.array(block.columns["doc_id"], pa.int64()), pa.array(counts), pa.array(gone, pa.int64())]
+            out += [pa.array(kept, pa.string())] if digest else [pa.array(x, pa.binary()).cast(pa.string()) for x in (block.texts, kept)]
+            yield pa.record_batch(out, names=["doc_id", "n_words", "n_removed", *(["kept_sha256"] if digest else ["text", "kept_text"])])
+
+    return run
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text, n_words, n_removed, kept_text (the kept words joined by one space) for every row of `docs`."""
+def substring_dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, text, kept_text (the kept words joined by one space) for every row of `docs`.
+
+    With `digest`, kept_sha256 (lowercase hex) stands in place of the texts.
+    """
     spark, size = docs.sparkSession, window // 2
     rows, scratch = ex.keyed(docs), Scratch(spark, "substring")
     bits = ex.bucket_bits(input_bytes(docs), 8)
@@ -126,10 +138,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     wide = ex.with_spans(rows, hits, scratch.bytes("hits"))
     found = scratch.keep(ex.exchange(wide, extensions(window, size), max(6, bits - 2), 4, pick_later, window), "found")
     full = ex.with_spans(rows, found, scratch.bytes("found"))
-    return full.mapInArrow(remove_spans, "doc_id long, text string, n_words long, n_removed long, kept_text string")
-
-
-def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sums = [hashlib.sha256(x).hexdigest() for x in batch.column("kept_text").cast(pa.binary()).to_pylist()]
-        yield pa.record_batch([*(batch.column(n) for n in ("doc_id", "n_words", "n_removed")), pa.array(sums, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+    return full.mapInArrow(remove_spans(digest), f"doc_id long, n_words long, n_removed long, {'kept_sha256 string' if digest else 'text string, kept_text string'}")
