@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, substring_dedup
+from . import byte_bpe, simhash, substring_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,8 +13,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup.substring_dedup(documents(spark, sf_dir))
-    return found.mapInArrow(substring_dedup.digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return substring_dedup.substring_dedup(documents(spark, sf_dir), digest=True)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +21,11 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op7_simhash_near_dedup)}
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
+
+
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op7_simhash_near_dedup, op8_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
