@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, gif, quality_rules, simhash, substring_dedup
+from . import byte_bpe, gif, language_id, quality_rules, simhash, substring_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,5 +35,9 @@ def op4_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.store_and_read(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_gif, op7_simhash_near_dedup, op8_byte_bpe, op10_quality_rules)}
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_gif, op5_language_id, op7_simhash_near_dedup, op8_byte_bpe, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
