@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, gif, language_id, quality_rules, simhash, substring_dedup
+from . import byte_bpe, gif, language_id, quality_rules, simhash, substring_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(documents(spark, sf_dir), digest=True)
 
@@ -39,5 +43,5 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_gif, op5_language_id, op7_simhash_near_dedup, op8_byte_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op4_gif, op5_language_id, op7_simhash_near_dedup, op8_byte_bpe, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}

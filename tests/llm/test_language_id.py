@@ -16,11 +16,11 @@ def test_held_out_accuracy(spark):
 
 
 def test_edges(spark):
-    rows = [(1, None, "en"), (2, "", "fr"), (3, "12 34 !?", "en"), (None, "the that of and", None), (5, "le la les des", "fr"), (5, "le la les des", "fr"), (6, "the of and that with", "en")]
+    rows = [(1, None, "en"), (2, "", "fr"), (3, "12 34 !?", "en"), (None, "the that of and", None), (7, "le la les des", "fr"), (7, "le la les des", "fr"), (8, "the of and that with", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = language_id.language_id(df).collect()
     assert len(got) == 7 and {r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {"und"}
-    assert all(r.lang_pred in ("en", "fr") for r in got if r.doc_id in (None, 5, 6))
+    assert all(r.lang_pred in ("en", "fr") for r in got if r.doc_id in (None, 7, 8))
     blank = language_id.language_id(spark.createDataFrame([(1, "word", None)], "doc_id long, text string, lang string")).collect()
     assert [(r.lang_pred, r.score) for r in blank] == [("und", 0.0)]
     assert language_id.language_id(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
