@@ -71,7 +71,7 @@ def directory(block: text.Block, first: np.ndarray) -> bytes:
 
 
 def sender(records: Callable[[text.Block], tuple[list[np.ndarray], np.ndarray] | None], bits: int) -> Callable:
-    """mapInArrow function. `records` gives a block's hashes, further fields, last the place of each record, and where rows begin."""
+    """mapInArrow function. `records` gives a block's hashes, further fields, and the place where each row begins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count = TaskContext.get().partitionId(), 0
@@ -96,8 +96,8 @@ def sender(records: Callable[[text.Block], tuple[list[np.ndarray], np.ndarray] |
     return run
 
 
-def receiver(count: int, pick: Callable[[list[np.ndarray]], np.ndarray]) -> Callable:
-    """applyInArrow function for a bucket: `pick(fields)` flags records, whose places go back to their blocks."""
+def receiver(count: int, pick: Callable[[list[np.ndarray]], tuple[np.ndarray, np.ndarray]]) -> Callable:
+    """applyInArrow function for a bucket: `pick(fields)` flags records and gives each one's answer, which goes back to its block."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         names, values = table.column("block").to_pylist(), table.column("data").to_pylist()
@@ -105,22 +105,21 @@ def receiver(count: int, pick: Callable[[list[np.ndarray]], np.ndarray]) -> Call
             return pa.table([pa.array(names, pa.int64()), pa.array([0] * len(names), pa.int32()), pa.array(values, pa.binary())], schema=PICKED)
         parts = [unpack(x, count) for x in values]
         cut = np.cumsum([0] + [len(p[0]) for p in parts])
-        fields = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        flags, places = pick(fields), fields[-1]
+        flags, answers = pick([np.concatenate(x) for x in zip(*parts, strict=True)])
         out_name, out_data = [], []
         for name, a, b in zip(names, cut[:-1], cut[1:], strict=True):
             if flags[a:b].any():
                 out_name.append(name)
-                out_data.append(pack([places[a:b][flags[a:b]]]))
+                out_data.append(pack([answers[a:b][flags[a:b]]]))
         return pa.table([pa.array(out_name, pa.int64()), pa.array([1] * len(out_name), pa.int32()), pa.array(out_data, pa.binary())], schema=PICKED)
 
     return run
 
 
-def gatherer(width: int, unit: int = 1) -> Callable:
-    """applyInArrow function for a block: picked places become each row's runs of covered places.
+def gatherer(finish: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Callable:
+    """applyInArrow function for a block: `finish(answers, first)` makes spans of its answers, which are kept by row.
 
-    A record of place p covers `width` places from p // unit; the spans are int32 pairs start, end.
+    `finish` gives the row of each span, ascending, and the spans as rows of an int32 matrix.
     """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -129,27 +128,42 @@ def gatherer(width: int, unit: int = 1) -> Callable:
         if not picked:
             return SPANS.empty_table()
         ids, texts, first = (x.view(np.int64) for x in unpack(next(x for x, k in zip(values, kind, strict=True) if k == 0), 3))
-        place = np.sort(np.concatenate(picked).view(np.int64)) // unit
-        row = np.searchsorted(first, place, "right") - 1
+        owner, spans = finish(np.sort(np.concatenate(picked)).view(np.int64), first)
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]])
+        out = [(int(ids[owner[a]]), int(texts[owner[a]]), spans[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), SPANS.types, strict=True)], schema=SPANS)
+
+    return run
+
+
+def owners(place: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The row of each place of a block; of rows that begin at one place, which have no places, the last."""
+    return np.searchsorted(first, place, "right") - 1
+
+
+def covering(width: int, unit: int = 1) -> Callable:
+    """`finish` for answers that are places: start, end of the runs that places p // unit .. p // unit + width - 1 cover."""
+
+    def finish(answers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = answers // unit
+        row = owners(place, first)
         fresh = np.ones(len(row), bool)
         fresh[1:] = (row[1:] != row[:-1]) | (place[1:] > place[:-1] + width)
         begin = np.flatnonzero(fresh)
         last = np.concatenate([begin[1:], [len(row)]]) - 1
         owner = row[begin]
-        spans = np.stack([place[begin] - first[owner], place[last] + width - first[owner]], 1).astype(np.int32)
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]])
-        out = [(int(ids[owner[a]]), int(texts[owner[a]]), spans[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), SPANS.types, strict=True)], schema=SPANS)
+        return owner, np.stack([place[begin] - first[owner], place[last] + width - first[owner]], 1).astype(np.int32)
 
-    return run
+    return finish
 
 
-def exchange(rows: DataFrame, records: Callable, bits: int, count: int, pick: Callable, width: int, unit: int = 1) -> DataFrame:
+def exchange(rows: DataFrame, records: Callable, bits: int, count: int, pick: Callable, finish: Callable) -> DataFrame:
     """key_id, key_text, spans: what `pick` has picked of the records (of `count` fields) of `rows`, one row for each key."""
     packed = rows.mapInArrow(sender(records, bits), "bucket int, block long, data binary")
     picked = packed.groupBy("bucket").applyInArrow(receiver(count, pick), "block long, kind int, data binary")
-    spans = picked.groupBy("block").applyInArrow(gatherer(width, unit), "key_id long, key_text long, spans binary")
-    return spans.dropDuplicates(["key_id", "key_text"])
+    spans = picked.groupBy("block").applyInArrow(gatherer(finish), "key_id long, key_text long, spans binary")
+    joined = F.aggregate(F.collect_set("spans"), F.lit(b""), lambda a, x: F.concat(a, x))  # rows of one key in several blocks: what any of them has
+    return spans.groupBy("key_id", "key_text").agg(joined.alias("spans"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, stored: int) -> DataFrame:
@@ -157,9 +171,9 @@ def with_spans(docs: DataFrame, spans: DataFrame, stored: int) -> DataFrame:
     return docs.join(small_enough(spans, stored), ["key_id", "key_text"], "left")
 
 
-def span_list(data: bytes | None) -> np.ndarray:
-    """The pairs start, end of one row's spans."""
-    return np.frombuffer(data or b"", np.int32).reshape(-1, 2).astype(np.int64)
+def span_list(data: bytes | None, columns: int = 2) -> np.ndarray:
+    """One row's spans, start and end each, or whatever the columns are."""
+    return np.frombuffer(data or b"", np.int32).reshape(-1, columns).astype(np.int64)
 
 
 def classes(hashes: np.ndarray, more: list[np.ndarray] = ()) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, gif, language_id, quality_rules, simhash, substring_dedup, toxicity
+from . import byte_bpe, gif, language_id, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(documents(spark, sf_dir), digest=True)
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir), digest=True)
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -43,5 +47,5 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op4_gif, op5_language_id, op7_simhash_near_dedup, op8_byte_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op4_gif, op5_language_id, op6_suffix_array_dedup, op7_simhash_near_dedup, op8_byte_bpe, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}

@@ -52,17 +52,15 @@ def anchors(size: int):
     return records
 
 
-def pick_hits(fields: list[np.ndarray]) -> np.ndarray:
+def pick_hits(fields: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Records whose hash occurs twice or more, at least once as a reference block."""
     order, fresh = ex.classes(fields[0])
     begin = np.flatnonzero(fresh)
-    if not len(begin):
-        return np.zeros(0, bool)
     sizes = np.diff(np.append(begin, len(order)))
     anchored = np.add.reduceat((fields[1][order] & np.uint64(1)).astype(np.int64), begin) > 0
     flags = np.zeros(len(order), bool)
     flags[order] = np.repeat((sizes > 1) & anchored, sizes)
-    return flags
+    return flags, fields[-1]
 
 
 def extensions(window: int, size: int):
@@ -89,17 +87,15 @@ def extensions(window: int, size: int):
     return records
 
 
-def pick_later(fields: list[np.ndarray]) -> np.ndarray:
+def pick_later(fields: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Records whose window a smaller doc_id has too."""
     ids = fields[2].view(np.int64)
     order, fresh = ex.classes(fields[0], [fields[1]])
     begin = np.flatnonzero(fresh)
-    if not len(begin):
-        return np.zeros(0, bool)
     least = np.minimum.reduceat(ids[order], begin)
     flags = np.zeros(len(order), bool)
     flags[order] = ids[order] > np.repeat(least, np.diff(np.append(begin, len(order))))
-    return flags
+    return flags, fields[-1]
 
 
 def remove_spans(digest: bool = False):
@@ -134,8 +130,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     spark, size = docs.sparkSession, window // 2
     rows, scratch = ex.keyed(docs), Scratch(spark, "substring")
     bits = ex.bucket_bits(input_bytes(docs), 8)
-    hits = scratch.keep(ex.exchange(rows, anchors(size), bits, 2, pick_hits, 1, 2), "hits")
+    hits = scratch.keep(ex.exchange(rows, anchors(size), bits, 2, pick_hits, ex.covering(1, 2)), "hits")
     wide = ex.with_spans(rows, hits, scratch.bytes("hits"))
-    found = scratch.keep(ex.exchange(wide, extensions(window, size), max(6, bits - 2), 4, pick_later, window), "found")
+    found = scratch.keep(ex.exchange(wide, extensions(window, size), max(6, bits - 2), 4, pick_later, ex.covering(window)), "found")
     full = ex.with_spans(rows, found, scratch.bytes("found"))
     return full.mapInArrow(remove_spans(digest), f"doc_id long, n_words long, n_removed long, {'kept_sha256 string' if digest else 'text string, kept_text string'}")
