@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import text
 from .components import connected_components
+from .exchange import NO_ID, keyed
 from .shared import Scratch, small_enough
 
 SHINGLE, SEED, BITS = 4, 42, 4
@@ -30,7 +31,6 @@ CHUNK = 1024
 #: Segments from the lowest bit: width each, 64 together.
 SEGMENTS = (13, 13, 13, 13, 12)
 _OFFSETS = np.cumsum((0, *SEGMENTS))[:-1].tolist()
-PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 
 def fingerprint(words: list[bytes], size: int = SHINGLE) -> int:
@@ -53,14 +53,15 @@ def fingerprint(words: list[bytes], size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long) of every row."""
+    """doc_id, key_id, key_text (see exchange.keyed), fp (the fingerprint's bits as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text.blocks(batches):
             prints = np.array([fingerprint(t.lower().split(), size) for t in block.texts], np.uint64)
-            yield pa.record_batch([pa.array(block.columns["doc_id"], pa.int64()), pa.array(prints.view(np.int64))], schema=PRINTS)
+            keys = [pa.array(block.columns[n], pa.int64()) for n in ("doc_id", "key_id", "key_text")]
+            yield pa.record_batch([*keys, pa.array(prints.view(np.int64))], names=["doc_id", "key_id", "key_text", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return keyed(docs).mapInArrow(run, "doc_id long, key_id long, key_text long, fp long")
 
 
 def ring_keys(fp: str = "fp"):
@@ -144,15 +145,34 @@ def links(prints: DataFrame, scratch: Scratch, chunk: int = CHUNK) -> DataFrame:
     return groups.where(F.size("prints") > 1).select("key", "prints").mapInArrow(_link, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id that links reach) for every row of `docs`."""
-    scratch = Scratch(docs.sparkSession, "simhash")
+def grouped(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, key_id, key_text, fp, root (a fingerprint that stands for the component), component_id of every row of `docs`."""
     rows = scratch.keep(fingerprints(docs, size), "prints")
     classes = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     parts = connected_components(links(classes, scratch, chunk), scratch)
     rooted = classes.join(parts, classes.fp == parts.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    heads = rooted.where("root != fp").groupBy("root").agg(F.min("least").alias("reached"))
-    named = rooted.join(heads, "root", "left").select("fp", F.least("least", "reached").alias("lower"), "root", "least")
-    tops = named.where("root = fp").select(F.col("fp").alias("root"), F.col("lower").alias("component_id"))
-    named = scratch.keep(named.join(tops, "root").select("fp", "component_id"), "named")
-    return rows.join(small_enough(named, scratch.bytes("named")), "fp").select("doc_id", "fp", "component_id")
+    heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = scratch.keep(rooted.join(heads, "root").select("fp", "root", "component_id"), "named")
+    return rows.join(small_enough(named, scratch.bytes("named")), "fp")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id that links reach) for every row of `docs`."""
+    return grouped(docs, Scratch(docs.sparkSession, "simhash"), size, chunk).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of `docs` for each component, with the same columns: that of the smallest doc_id.
+
+    A null doc_id counts as the largest; among rows of equal doc_id the least hash of the text decides.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    rows = grouped(docs, scratch).groupBy("root", "key_id", "key_text").agg(F.count("*").alias("n"))
+    heads = rows.groupBy("root").agg(F.min(F.struct("key_id", "key_text", "n")).alias("h"))
+    heads = scratch.keep(heads.select(F.col("h.key_id").alias("__id"), F.col("h.key_text").alias("__text"), F.col("h.n").alias("__n")), "heads")
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__text"))
+    kept = docs.join(small_enough(heads, scratch.bytes("heads")), same)
+    if heads.where("__n > 1").isEmpty():
+        return kept.select(docs.columns)
+    again = kept.where("__n > 1").dropDuplicates(["__id", "__text"])  # the same row more than once
+    return kept.where("__n = 1").select(docs.columns).unionByName(again.select(docs.columns))

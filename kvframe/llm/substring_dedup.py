@@ -15,12 +15,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import exchange as ex
 from . import text
-from .shared import Scratch, input_bytes
+from .shared import Scratch, input_bytes, small_enough
 
 WINDOW = 50
 BLOCK = WINDOW // 2
@@ -122,16 +124,40 @@ def remove_spans(digest: bool = False):
     return run
 
 
+def _found(docs: DataFrame, window: int) -> tuple[DataFrame, int]:
+    """The spans of words to remove, by row key, and their stored size."""
+    size = window // 2
+    rows, scratch = ex.keyed(docs), Scratch(docs.sparkSession, "substring")
+    bits = ex.bucket_bits(input_bytes(docs), 8)
+    hits = scratch.keep(ex.exchange(rows, anchors(size), bits, 2, pick_hits, ex.covering(1, 2)), "hits")
+    wide = ex.with_spans(rows, hits, scratch.bytes("hits"))
+    found = scratch.keep(ex.exchange(wide, extensions(window, size), max(6, bits - 2), 4, pick_later, ex.covering(window)), "found")
+    return found, scratch.bytes("found")
+
+
 def substring_dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, text, kept_text (the kept words joined by one space) for every row of `docs`.
 
     With `digest`, kept_sha256 (lowercase hex) stands in place of the texts.
     """
-    spark, size = docs.sparkSession, window // 2
-    rows, scratch = ex.keyed(docs), Scratch(spark, "substring")
-    bits = ex.bucket_bits(input_bytes(docs), 8)
-    hits = scratch.keep(ex.exchange(rows, anchors(size), bits, 2, pick_hits, ex.covering(1, 2)), "hits")
-    wide = ex.with_spans(rows, hits, scratch.bytes("hits"))
-    found = scratch.keep(ex.exchange(wide, extensions(window, size), max(6, bits - 2), 4, pick_later, ex.covering(window)), "found")
-    full = ex.with_spans(rows, found, scratch.bytes("found"))
+    full = ex.with_spans(ex.keyed(docs), *_found(docs, window))
     return full.mapInArrow(remove_spans(digest), f"doc_id long, n_words long, n_removed long, {'kept_sha256 string' if digest else 'text string, kept_text string'}")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """`docs` without the repeated words: a text that loses words is its kept words joined by one space, others are unchanged."""
+    found, stored = _found(docs, window)
+
+    @F.pandas_udf("string")
+    def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for t, data in zip(texts, spans, strict=True):
+            words, lost = t.encode().split() if data is not None else [], ex.span_list(data)
+            cover = text.covered(len(words), lost[:, 0], lost[:, 1])
+            out.append(b" ".join(w for w, gone in zip(words, cover.tolist(), strict=True) if not gone).decode())
+        return pd.Series(out, dtype=object)
+
+    spans = found.select(F.col("key_id").alias("__id"), F.col("key_text").alias("__text"), F.col("spans").alias("__spans"))
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(ex.NO_ID)) == F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__text"))
+    wide = docs.join(small_enough(spans, stored), same, "left")
+    return wide.withColumn("text", F.when(F.col("__spans").isNotNull(), kept("text", "__spans")).otherwise(F.col("text"))).select(docs.columns)
