@@ -2,13 +2,13 @@
 
 A source with n documents of N in all and target share w is to be repeated w N' / n times in the mean, N' being the
 size asked for. Every document gets a number of copies from the Poisson distribution of that mean: the uniform
-number that its md5 seeds is inverted, so the same seed gives the same mixture however the rows are dealt. The rows
+number that an md5 of its id and text seeds is inverted, so the same seed gives the same mixture however the rows are dealt. The rows
 are exploded by their counts and put in a global order by the md5 of document and copy, range-partitioned, so no
 source or document makes a partition large.
 
 Means over PIECE are split into equal parts, each inverted by itself. A null source is a source of its own; sources
 without a weight are left out, weights of sources without documents are spread over the others in proportion. An
-empty text is a document like any other. Repeated rows draw alike, as they have one seed. Columns of `docs` come
+empty text is a document like any other. Rows of equal id and text draw alike, as they have one seed. Columns of `docs` come
 through unchanged, but for those named copy, copies and shuffle_key, which are replaced.
 """
 
@@ -31,21 +31,27 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(_STEPS)
 
 
-def poisson(mean: Column, u: Column) -> Column:
-    """Least k with u <= P(X <= k), for means up to PIECE; at most 99, beyond which no u of 52 bits lies."""
-    chance = F.exp(-mean)
-    start = F.struct(F.lit(0).alias("k"), chance.alias("p"), chance.alias("total"))
+def chances(mean: Column) -> Column:
+    """P(X <= k) for k = 0, 1 ... of a Poisson variable of mean up to PIECE, as far as a number of 52 bits can lie above it."""
+    first = F.exp(-mean)
+    start = F.struct(first.alias("p"), first.alias("total"), F.array(first).alias("all"))
 
     def step(held: Column, k: Column) -> Column:
         p = held["p"] * mean / k
-        goes = u > held["total"]
-        return F.struct(F.when(goes, k).otherwise(held["k"]).alias("k"), F.when(goes, p).otherwise(held["p"]).alias("p"), F.when(goes, held["total"] + p).otherwise(held["total"]).alias("total"))
+        return F.struct(p.alias("p"), (held["total"] + p).alias("total"), F.concat(held["all"], F.array(held["total"] + p)).alias("all"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(99)), start, step, lambda held: held["k"])
+    table = F.aggregate(F.sequence(F.lit(1), F.lit(99)), start, step, lambda held: held["all"])
+    return F.filter(table, lambda c: c < F.lit(1 - 0.5 / _STEPS))
+
+
+def poisson(table: Column, u: Column) -> Column:
+    """Least k with u <= P(X <= k): how many of the table's chances lie under u. (u goes into the fold, to be worked out once.)"""
+    start = F.struct(u.alias("u"), F.lit(0).alias("k"))
+    return F.aggregate(table, start, lambda held, c: F.struct(held["u"].alias("u"), (held["k"] + (c < held["u"]).cast("int")).alias("k")), lambda held: held["k"])
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None, source: str, size: float | None) -> DataFrame:
-    """source, mean: the mean number of copies of each source's documents."""
+    """source, parts, chances: how many draws each of a source's documents takes, and the table of one draw."""
     counts = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n"))
     if weights is None:
         counts = counts.withColumn("w", F.lit(1.0))
@@ -54,7 +60,9 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None, source: str,
         counts = counts.join(table, F.col("source").eqNullSafe(F.col("name"))).where("w > 0").drop("name")
     sums = counts.agg(F.sum("w").alias("w"), F.sum("n").alias("n")).first()
     asked = float(size if size is not None else sums.n or 0)
-    return counts.select("source", (F.col("w") / F.lit(sums.w or 1.0) * F.lit(asked) / F.col("n")).alias("mean"))
+    means = counts.select("source", (F.col("w") / F.lit(sums.w or 1.0) * F.lit(asked) / F.col("n")).alias("mean"))
+    means = means.withColumn("parts", F.greatest(F.ceil(F.col("mean") / PIECE).cast("int"), F.lit(1)))
+    return means.select("source", "parts", chances(F.col("mean") / F.col("parts")).alias("chances"))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, size: float | None = None, seed: int = SEED, source: str = "source", key: str = "doc_id") -> DataFrame:
@@ -62,27 +70,29 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
 
     Without weights all sources weigh the same; without size the mixture is, in the mean, as large as the weighted sources.
     """
-    scratch = Scratch(docs.sparkSession, "mixing")
-    means = scratch.keep(rates(docs, weights, source, size).withColumnRenamed("source", "__source"), "rates")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "mixing")
+    table = scratch.keep(rates(docs, weights, source, size).select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), F.col("chances").alias("__chances")), "rates")
     rows = docs.drop("copy", "copies", "shuffle_key")
     names = rows.columns
-    rows = rows.join(small_enough(means, scratch.bytes("rates")), F.col(source).eqNullSafe(F.col("__source")))
-    parts = F.ceil(F.col("mean") / PIECE).cast("int")
-    ident = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(parts, F.lit(1))),
-        F.lit(0),
-        lambda held, j: held + poisson(F.col("mean") / F.greatest(parts, F.lit(1)), uniform(F.lit(str(seed)), ident, j.cast("string"))),
-    )
-    counted = rows.withColumn("copies", drawn).where("copies > 0")
-    copied = counted.select(*names, "copies", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), ident, F.col("copy").cast("string"), F.lit("order")).cast("binary"))
-    return copied.withColumn("shuffle_key", order).orderBy("shuffle_key", key, "copy")
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    ident = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("null")), digest)
+    rows = rows.withColumn("__ident", ident).join(small_enough(table, scratch.bytes("rates")), F.col(source).eqNullSafe(F.col("__source")))
+    drawn = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda held, j: held + poisson(F.col("__chances"), uniform(F.col("__ident"), j.cast("string"))))
+    rows = rows.select(*names, "__ident", drawn.alias("copies"))
+    # explode_outer: of explode Spark would infer a filter, which would draw a second time
+    copied = rows.select("*", F.posexplode_outer(F.array_repeat(F.lit(True), F.col("copies"))).alias("__at", "__one")).where("__at IS NOT NULL")
+    order = F.md5(F.concat_ws(":", F.col("__ident"), (F.col("__at") + 1).cast("string"), F.lit("order")).cast("binary"))
+    copied = copied.select(*names, "copies", (F.col("__at") + 1).alias("copy"), order.alias("shuffle_key"))
+    # an md5 is uniform, so the bounds of an even range partitioning are known without a look at the rows
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("double") / 2.0**32 * parts).cast("int")
+    return copied.repartitionById(parts, part).sortWithinPartitions("shuffle_key", key, "copy")
 
 
 #: The mixture of op9 and the pipeline: equal weights.
 ORACLE = """
-WITH d AS (SELECT doc_id, text, lang, source, n_chars, coalesce(CAST(doc_id AS VARCHAR), 'null') AS ident FROM documents),
+WITH d AS (SELECT doc_id, text, lang, source, n_chars, coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, '')) AS ident FROM documents),
 c AS (SELECT source, count(*) AS n FROM d GROUP BY source),
 r AS (SELECT source, 1.0 / (SELECT count(*) FROM c) * (SELECT sum(n) FROM c)::DOUBLE / n::DOUBLE AS mean FROM c),
 p AS (SELECT source, mean, greatest(1, CAST(ceil(mean / 16.0) AS INTEGER)) AS parts FROM r),

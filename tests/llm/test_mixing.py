@@ -10,7 +10,8 @@ import pytest
 from kvframe.llm import mixing, queries
 
 
-def brute(ident, mean, seed=42):
+def brute(doc_id, text, mean, seed=42):
+    ident = f"{doc_id}:{hashlib.md5((text or '').encode()).hexdigest()}"
     parts, total = max(1, math.ceil(mean / 16)), 0
     for j in range(1, parts + 1):
         u = (int(hashlib.md5(f"{seed}:{ident}:{j}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
@@ -32,7 +33,7 @@ def test_copies_and_shares(spark):
     n = Counter(r[2] for r in rows)
     want = Counter()
     for d, t, s in rows:
-        want[d, t, s] += brute("null" if d is None else d, weights[s] / 4 * size / n[s])
+        want[d, t, s] += brute("null" if d is None else d, t, weights[s] / 4 * size / n[s])
     assert Counter((r.doc_id, r.text, r.source) for r in got) == +want
     keys = [r.shuffle_key for r in got]
     assert keys == sorted(keys)

@@ -49,7 +49,7 @@ def test_stages(spark, tmp_path):
     n = Counter(r.source for r in cut)
     want = Counter()
     for r in cut:
-        want[r] = copies(r.doc_id, 1 / len(n) * len(cut) / n[r.source])
+        want[r] = copies(r.doc_id, r.text, 1 / len(n) * len(cut) / n[r.source])
     assert Counter(mixed) == +want and math.isclose(len(mixed), len(cut), rel_tol=0.3)
     lib = library()
     assert Counter((r.doc_id, r.n_tokens, tuple(r.ids), r.decoded) for r in last) == Counter((r.doc_id, len(ids := lib.encode_ordinary(r.text)), tuple(ids), r.text) for r in mixed)
