@@ -25,6 +25,8 @@ PACKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.b
 PICKED = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
 SPANS = pa.schema([("key_id", pa.int64()), ("key_text", pa.int64()), ("spans", pa.binary())])
 NO_ID = (1 << 63) - 1
+#: What a row for a block holds: its directory, the other places of its records, picked answers.
+ROWS, OTHERS, PICKS = 0, 1, 2
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -71,7 +73,11 @@ def directory(block: text.Block, first: np.ndarray) -> bytes:
 
 
 def sender(records: Callable[[text.Block], tuple[list[np.ndarray], np.ndarray] | None], bits: int) -> Callable:
-    """mapInArrow function. `records` gives a block's hashes, further fields, and the place where each row begins."""
+    """mapInArrow function. `records` gives a block's hashes, further fields, last the place of each record, and where rows begin.
+
+    Records that agree in all but the place are sent once, with a field before the place that says so; the block keeps
+    the other places. However often a hash occurs, a block sends it once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count = TaskContext.get().partitionId(), 0
@@ -79,18 +85,24 @@ def sender(records: Callable[[text.Block], tuple[list[np.ndarray], np.ndarray] |
             got = records(block)
             if got is None or not len(got[0][0]):
                 continue
-            (hashes, *fields), first = got
+            fields, first = got
             name = (part << 32) | count
             count += 1
-            bucket = (hashes >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int32)
-            order = np.argsort(bucket, kind="stable")
-            bucket = bucket[order]
-            fields = [x[order] for x in (hashes & np.uint64((1 << (64 - bits)) - 1), *fields)]
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(order)]])
-            keys, values = [-1 - name % 1024], [directory(block, first)]
+            order = np.argsort(fields[0], kind="stable")
+            *fields, place = [x[order] for x in fields]
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = np.any([x[1:] != x[:-1] for x in fields], axis=0)
+            begin = np.flatnonzero(fresh)
+            size = np.diff(np.append(begin, len(order)))
+            others = np.stack([np.repeat(place[begin], size), place], 1)[~fresh]
+            others = others[np.argsort(others[:, 0], kind="stable")]
+            bucket = (fields[0][begin] >> np.uint64(64 - bits)).astype(np.int64)
+            sent = [fields[0][begin] & np.uint64((1 << (64 - bits)) - 1), *(x[begin] for x in fields[1:]), size > 1, place[begin]]
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+            keys, values = [-1 - name % 1024] * 2, [bytes([ROWS]) + directory(block, first), bytes([OTHERS]) + pack([others[:, 0], others[:, 1]])]
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 keys.append(int(bucket[a]))
-                values.append(pack([x[a:b] for x in fields]))
+                values.append(pack([x[a:b] for x in sent]))
             yield pa.record_batch([pa.array(keys, pa.int32()), pa.array([name] * len(keys), pa.int64()), pa.array(values, pa.binary())], schema=PACKED)
 
     return run
@@ -102,7 +114,7 @@ def receiver(count: int, pick: Callable[[list[np.ndarray]], tuple[np.ndarray, np
     def run(key: tuple, table: pa.Table) -> pa.Table:
         names, values = table.column("block").to_pylist(), table.column("data").to_pylist()
         if key[0].as_py() < 0:
-            return pa.table([pa.array(names, pa.int64()), pa.array([0] * len(names), pa.int32()), pa.array(values, pa.binary())], schema=PICKED)
+            return pa.table([pa.array(names, pa.int64()), pa.array([x[0] for x in values], pa.int32()), pa.array([x[1:] for x in values], pa.binary())], schema=PICKED)
         parts = [unpack(x, count) for x in values]
         cut = np.cumsum([0] + [len(p[0]) for p in parts])
         flags, answers = pick([np.concatenate(x) for x in zip(*parts, strict=True)])
@@ -111,24 +123,32 @@ def receiver(count: int, pick: Callable[[list[np.ndarray]], tuple[np.ndarray, np
             if flags[a:b].any():
                 out_name.append(name)
                 out_data.append(pack([answers[a:b][flags[a:b]]]))
-        return pa.table([pa.array(out_name, pa.int64()), pa.array([1] * len(out_name), pa.int32()), pa.array(out_data, pa.binary())], schema=PICKED)
+        return pa.table([pa.array(out_name, pa.int64()), pa.array([PICKS] * len(out_name), pa.int32()), pa.array(out_data, pa.binary())], schema=PICKED)
 
     return run
 
 
-def gatherer(finish: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Callable:
+def gatherer(finish: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], shift: int = 0) -> Callable:
     """applyInArrow function for a block: `finish(answers, first)` makes spans of its answers, which are kept by row.
 
-    `finish` gives the row of each span, ascending, and the spans as rows of an int32 matrix.
+    An answer is a place, shifted left, with whatever its low bits say; it holds for the other places of its record
+    too. `finish` gives the row of each span, ascending, and the spans as rows of an int32 matrix.
     """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         kind, values = table.column("kind").to_pylist(), table.column("data").to_pylist()
-        picked = [unpack(x, 1)[0] for x, k in zip(values, kind, strict=True) if k == 1]
+        of = lambda k: [x for x, own in zip(values, kind, strict=True) if own == k]
+        picked = [unpack(x, 1)[0] for x in of(PICKS)]
         if not picked:
             return SPANS.empty_table()
-        ids, texts, first = (x.view(np.int64) for x in unpack(next(x for x, k in zip(values, kind, strict=True) if k == 0), 3))
-        owner, spans = finish(np.sort(np.concatenate(picked)).view(np.int64), first)
+        ids, texts, first = (x.view(np.int64) for x in unpack(of(ROWS)[0], 3))
+        head, other = (x.view(np.int64) for x in unpack(of(OTHERS)[0], 2))
+        answers = np.concatenate(picked).view(np.int64)
+        place = answers >> shift
+        low = np.searchsorted(head, place)
+        many = np.searchsorted(head, place, "right") - low
+        more = other[text.ranges(low, many)] << shift | np.repeat(answers & ((1 << shift) - 1), many)
+        owner, spans = finish(np.sort(np.concatenate([answers, more])), first)
         cut = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]])
         out = [(int(ids[owner[a]]), int(texts[owner[a]]), spans[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), SPANS.types, strict=True)], schema=SPANS)
@@ -141,11 +161,10 @@ def owners(place: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.searchsorted(first, place, "right") - 1
 
 
-def covering(width: int, unit: int = 1) -> Callable:
-    """`finish` for answers that are places: start, end of the runs that places p // unit .. p // unit + width - 1 cover."""
+def covering(width: int) -> Callable:
+    """`finish` for answers that are places: start, end of the runs that places p .. p + width - 1 cover."""
 
-    def finish(answers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place = answers // unit
+    def finish(place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         row = owners(place, first)
         fresh = np.ones(len(row), bool)
         fresh[1:] = (row[1:] != row[:-1]) | (place[1:] > place[:-1] + width)
@@ -157,11 +176,14 @@ def covering(width: int, unit: int = 1) -> Callable:
     return finish
 
 
-def exchange(rows: DataFrame, records: Callable, bits: int, count: int, pick: Callable, finish: Callable) -> DataFrame:
-    """key_id, key_text, spans: what `pick` has picked of the records (of `count` fields) of `rows`, one row for each key."""
+def exchange(rows: DataFrame, records: Callable, bits: int, count: int, pick: Callable, finish: Callable, shift: int = 0) -> DataFrame:
+    """key_id, key_text, spans: what `pick` has picked of the records of `rows`, one row for each key.
+
+    `count` is the number of a record's fields as sent: with the one that says whether it stands for several.
+    """
     packed = rows.mapInArrow(sender(records, bits), "bucket int, block long, data binary")
     picked = packed.groupBy("bucket").applyInArrow(receiver(count, pick), "block long, kind int, data binary")
-    spans = picked.groupBy("block").applyInArrow(gatherer(finish), "key_id long, key_text long, spans binary")
+    spans = picked.groupBy("block").applyInArrow(gatherer(finish, shift), "key_id long, key_text long, spans binary")
     joined = F.aggregate(F.collect_set("spans"), F.lit(b""), lambda a, x: F.concat(a, x))  # rows of one key in several blocks: what any of them has
     return spans.groupBy("key_id", "key_text").agg(joined.alias("spans"))
 

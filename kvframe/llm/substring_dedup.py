@@ -39,7 +39,7 @@ def _word_hashes(block: text.Block, width: int):
 
 
 def anchors(size: int):
-    """Records of the first exchange: rolling windows of `size` words; the place is doubled, plus one for a reference block."""
+    """Records of the first exchange: rolling windows of `size` words, and whether one is a reference block."""
 
     def records(block: text.Block):
         got = _word_hashes(block, size)
@@ -49,7 +49,7 @@ def anchors(size: int):
         count = len(words) - size + 1
         fits = np.flatnonzero(left[:count] >= size)
         hashes = text.SpanHash(words).rolling(size, count)[fits]
-        return [hashes, 2 * fits + (place[fits] % size == 0)], first
+        return [hashes, place[fits] % size == 0, fits], first
 
     return records
 
@@ -58,10 +58,10 @@ def pick_hits(fields: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Records whose hash occurs twice or more, at least once as a reference block."""
     order, fresh = ex.classes(fields[0])
     begin = np.flatnonzero(fresh)
-    sizes = np.diff(np.append(begin, len(order)))
-    anchored = np.add.reduceat((fields[1][order] & np.uint64(1)).astype(np.int64), begin) > 0
+    records = np.diff(np.append(begin, len(order)))
+    anchored, many = (np.add.reduceat(fields[k][order].astype(np.int64), begin) > 0 for k in (1, 2))
     flags = np.zeros(len(order), bool)
-    flags[order] = np.repeat((sizes > 1) & anchored, sizes)
+    flags[order] = np.repeat(((records > 1) | many) & anchored, records)
     return flags, fields[-1]
 
 
@@ -129,9 +129,9 @@ def _found(docs: DataFrame, window: int) -> tuple[DataFrame, int]:
     size = window // 2
     rows, scratch = ex.keyed(docs), Scratch(docs.sparkSession, "substring")
     bits = ex.bucket_bits(input_bytes(docs), 8)
-    hits = scratch.keep(ex.exchange(rows, anchors(size), bits, 2, pick_hits, ex.covering(1, 2)), "hits")
+    hits = scratch.keep(ex.exchange(rows, anchors(size), bits, 4, pick_hits, ex.covering(1)), "hits")
     wide = ex.with_spans(rows, hits, scratch.bytes("hits"))
-    found = scratch.keep(ex.exchange(wide, extensions(window, size), max(6, bits - 2), 4, pick_later, ex.covering(window)), "found")
+    found = scratch.keep(ex.exchange(wide, extensions(window, size), max(6, bits - 2), 5, pick_later, ex.covering(window)), "found")
     return found, scratch.bytes("found")
 
 

@@ -84,19 +84,20 @@ def stretches(length: int, gram: int):
 
 
 def pick_stretches(fields: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Stretches with a repeated anchor prefix; the answer's low bits: starts less one, and whether the stretch goes on."""
+    """(Fields: rank, text, starts less one, whether it stands for several, place.) Stretches with a repeated anchor prefix; the answer's low bits: starts less one, and whether the stretch goes on."""
     order, fresh = ex.classes(fields[0], [fields[1]])
     ranks = fields[0][order]
     head = np.ones(len(order), bool)
     head[1:] = ranks[1:] != ranks[:-1]
     group, alike = np.cumsum(head) - 1, np.cumsum(fresh) - 1
-    repeated = np.bincount(group)[group] > 1
-    past = np.bincount(alike)[alike] > 1
+    weight = 1.0 + fields[3][order]
+    repeated = np.bincount(group, weight)[group] > 1
+    past = np.bincount(alike, weight)[alike] > 1
     open_ = repeated & ~past
     onward = open_ | fresh & (np.bincount(group, open_)[group] > 0)
     flags, answers = np.zeros(len(order), bool), np.zeros(len(order), np.uint64)
     flags[order] = repeated
-    answers[order] = fields[3][order] << np.uint64(_FLAGS + 1) | fields[2][order] << np.uint64(2) | past.astype(np.uint64) << np.uint64(1) | onward.astype(np.uint64)
+    answers[order] = fields[4][order] << np.uint64(_FLAGS + 1) | fields[2][order] << np.uint64(2) | past.astype(np.uint64) << np.uint64(1) | onward.astype(np.uint64)
     return flags, answers
 
 
@@ -145,11 +146,11 @@ def doubled(gram: int, doublings: int, spans_of, second: bool):
 
 
 def pick_repeated(fields: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Records whose rank (all fields but the place) occurs again."""
-    order, fresh = ex.classes(fields[0], fields[1:-1])
+    """Records whose rank occurs again; the last fields are whether one stands for several, and the place."""
+    order, fresh = ex.classes(fields[0], fields[1:-2])
     alike = np.cumsum(fresh) - 1
     flags = np.zeros(len(order), bool)
-    flags[order] = np.bincount(alike)[alike] > 1
+    flags[order] = np.bincount(alike, 1.0 + fields[-2][order])[alike] > 1
     return flags, fields[-1]
 
 
@@ -192,11 +193,11 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, digest: bool = False) ->
     rows, scratch = ex.keyed(docs), Scratch(spark, "suffix")
     size = input_bytes(docs)
     bits = ex.bucket_bits(size, 7)
-    held = scratch.keep(ex.exchange(rows, stretches(length, gram), max(6, bits - 2), 4, pick_stretches, stretch_spans), "stretches")
+    held = scratch.keep(ex.exchange(rows, stretches(length, gram), max(6, bits - 2), 5, pick_stretches, stretch_spans, _FLAGS + 1), "stretches")
     open_ = ex.with_spans(rows, held, scratch.bytes("stretches"))
-    left = scratch.keep(ex.exchange(open_, doubled(gram, 1, _open_spans, False), bits, 2, pick_repeated, ex.covering(1)), "left")
+    left = scratch.keep(ex.exchange(open_, doubled(gram, 1, _open_spans, False), bits, 3, pick_repeated, ex.covering(1)), "left")
     again = ex.with_spans(rows, left, scratch.bytes("left"))
-    found = scratch.keep(ex.exchange(again, doubled(gram, 2, ex.span_list, True), bits, 3, pick_repeated, ex.covering(length)), "found")
+    found = scratch.keep(ex.exchange(again, doubled(gram, 2, ex.span_list, True), bits, 4, pick_repeated, ex.covering(length)), "found")
     full = ex.with_spans(rows, found, scratch.bytes("found"))
     full = full.join(small_enough(held.withColumnRenamed("spans", "stretches"), scratch.bytes("stretches")), ["key_id", "key_text"], "left")
     return full.mapInArrow(remove_spans(length, digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {'kept_sha256 string' if digest else 'kept binary'}")
