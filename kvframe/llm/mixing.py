@@ -17,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, small_enough
+from .shared import Scratch, input_bytes, small_enough
 
 PIECE = 16.0
+#: Stored input for each partition of the mixture, where the session's number of partitions would make them larger.
+PARTITION_BYTES = 128 << 20
 SEED = 42
 #: Least chance that is told apart: 52 bits of an md5.
 _STEPS = 2.0**52
@@ -85,7 +87,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     order = F.md5(F.concat_ws(":", F.col("__ident"), (F.col("__at") + 1).cast("string"), F.lit("order")).cast("binary"))
     copied = copied.select(*names, "copies", (F.col("__at") + 1).alias("copy"), order.alias("shuffle_key"))
     # an md5 is uniform, so the bounds of an even range partitioning are known without a look at the rows
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // PARTITION_BYTES)
     part = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("double") / 2.0**32 * parts).cast("int")
     return copied.repartitionById(parts, part).sortWithinPartitions("shuffle_key", key, "copy")
 
