@@ -149,3 +149,22 @@ def quality_rules(docs: DataFrame, least: int = LEAST, most_covered: float = MOS
 
     bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, OUT)
+
+
+#: The contract's columns over `documents` in DuckDB: a word is covered by repeats of LEAST words or more if a window of
+#: LEAST words that holds it occurs again, and a repeat is over MOST_REPEAT words if a window of one more does.
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, k, i, md5(array_to_string(w[i:i+k-1], ' ')) AS h FROM d, (VALUES (3), ({LEAST}), ({MOST_REPEAT + 1})) ks(k), unnest(range(1, len(w) - k + 2)) t(i)),
+r AS (SELECT doc_id, k, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k, h) AS c FROM g) x WHERE c > 1),
+cov AS (SELECT doc_id, k, count(DISTINCT j) AS n FROM (SELECT doc_id, k, unnest(range(i, i + k)) AS j FROM r) x GROUP BY 1, 2),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) x WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+b AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(lines.n, 0)::BIGINT AS n_dup_lines,
+  coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(l.n, 0)::BIGINT AS cover, m.n IS NOT NULL AS long_repeat
+  FROM d LEFT JOIN lines ON lines.doc_id = d.doc_id LEFT JOIN cov c ON c.doc_id = d.doc_id AND c.k = 3
+  LEFT JOIN cov l ON l.doc_id = d.doc_id AND l.k = {LEAST} LEFT JOIN cov m ON m.doc_id = d.doc_id AND m.k = {MOST_REPEAT + 1}),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND cover <= {MOST_COVERED}::DOUBLE * n_words AND NOT long_repeat AS kept FROM f
+"""

@@ -161,3 +161,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(ex.NO_ID)) == F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__text"))
     wide = docs.join(small_enough(spans, stored), same, "left")
     return wide.withColumn("text", F.when(F.col("__spans").isNotNull(), kept("text", "__spans")).otherwise(F.col("text"))).select(docs.columns)
+
+
+#: The digest form over `documents` in DuckDB, window by window.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) t(i)),
+m AS (SELECT h, min(doc_id) AS least FROM s GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM (SELECT s.doc_id, s.i FROM s JOIN m ON s.h = m.h WHERE m.least < s.doc_id) x),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+kept AS (SELECT words.doc_id, count(gone.j) AS n_removed, string_agg(word, ' ' ORDER BY words.j) FILTER (WHERE gone.j IS NULL) AS kept
+  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.j = words.j GROUP BY words.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""

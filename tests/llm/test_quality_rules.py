@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 
 from kvframe.llm import quality_rules, queries
@@ -70,4 +71,9 @@ def test_query_on_table(spark):
     assert quality_rules.quality_rules(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     sf = "/root/testdata/sf0.001"
     want = [(r.doc_id, *brute(r.text)) for r in queries.documents(spark, sf).collect()]
-    assert rows_of(queries.op10_quality_rules(spark, sf)) == sorted(want, key=str)
+    assert rows_of(quality_rules.quality_rules(queries.documents(spark, sf))) == sorted(want, key=str)
+    contract = sorted((r[:8] for r in want), key=str)
+    assert rows_of(queries.op10_quality_rules(spark, sf)) == contract
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert sorted(db.sql(queries.ORACLE_SQL["op10_quality_rules"]).fetchall(), key=str) == contract

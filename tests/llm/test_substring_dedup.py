@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import duckdb
+
 from kvframe.llm import queries, substring_dedup
 
 
@@ -66,3 +68,10 @@ def test_query_on_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in queries.documents(spark, sf).select("doc_id", "text").collect()]
     assert sorted(map(tuple, queries.op2_substring_dedup(spark, sf).collect())) == brute(rows)
+    assert sorted(against_sql(sf)) == brute(rows)
+
+
+def against_sql(sf):
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    return db.sql(queries.ORACLE_SQL["op2_substring_dedup"]).fetchall()
