@@ -24,7 +24,7 @@ from . import text
 from .shared import bounded_batches
 
 #: Pieces whose tokens a worker remembers; others are encoded again in each block where they occur.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 #: Tree nodes worked on at once.
 TREE_NODES = 1 << 20
 _FAR = np.int64(1) << np.int64(62)
@@ -57,7 +57,7 @@ class Codec:
         order = np.argsort(keys)
         self.pair_key = np.append(keys[order], _FAR)
         self.pair_rank = np.append(np.fromiter(pairs.values(), np.int64, len(pairs))[order], _FAR)
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache: dict[str, bytes] = {}
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of tokens, _FAR for none; a token of -1 makes no pair."""
@@ -116,7 +116,9 @@ class Codec:
         out: list = [self.cache.get(s) for s in strings]
         todo: dict[int, list[tuple[int, bytes]]] = {}
         for i, known in enumerate(out):
-            if known is None:
+            if known is not None:
+                out[i] = np.frombuffer(known, np.uint32)
+            else:
                 raw = strings[i].encode()
                 rank = self.ranks.get(raw)
                 if rank is not None:
@@ -133,7 +135,7 @@ class Codec:
             if len(self.cache) >= CACHE_PIECES:
                 break
             if len(s) < 32:
-                self.cache.setdefault(s, tokens)
+                self.cache.setdefault(s, tokens.tobytes())
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

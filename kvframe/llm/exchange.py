@@ -123,6 +123,8 @@ def receiver(count: int, pick: Callable[[list[np.ndarray]], tuple[np.ndarray, np
             if flags[a:b].any():
                 out_name.append(name)
                 out_data.append(pack([answers[a:b][flags[a:b]]]))
+        del parts, flags, answers
+        text.release()
         return pa.table([pa.array(out_name, pa.int64()), pa.array([PICKS] * len(out_name), pa.int32()), pa.array(out_data, pa.binary())], schema=PICKED)
 
     return run

@@ -6,12 +6,14 @@ on the number of rows in a batch; a text longer than that is a block of its own.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Odd multipliers; the second is for an independent hash.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
@@ -54,6 +56,14 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES, text: st
                 end += 1
             yield Block(texts[at:end], {n: v[at:end] for n, v in others.items()})
             at = end
+        release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers are kept for later tasks, and what they hold adds up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of glibc only
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
