@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru, text
-from .shared import bounded_batches
+from .shared import Scratch, bounded_batches
 
 SPAN, STRIDE = 32, 16
 CHARS, WORDS, EMBED = 8, 6, 6
@@ -262,13 +262,19 @@ def _threshold(best: np.ndarray, toxic: np.ndarray) -> np.float32:
     return gru.FLOAT((edges[k] + edges[k + 1]) / 2)
 
 
-def sample(docs: DataFrame, per_label: int = SAMPLE_DOCS, windows: int = SAMPLE_WINDOWS) -> tuple[list[list[bytes]], np.ndarray]:
-    """Windows of a bounded sample of `docs` (doc_id, text, toxic) and their texts' labels."""
-    counts = {r.toxic: r.n for r in docs.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_DOCS, windows: int = SAMPLE_WINDOWS) -> tuple[list[list[bytes]], np.ndarray]:
+    """Windows of a bounded sample of `docs` (doc_id, text) with `labels` (doc_id, toxic), and their texts' labels.
+
+    The sample is drawn from the ids alone; only its few ids then meet the texts, which are not shuffled.
+    """
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    known = scratch.keep(docs.select("doc_id").join(labels, "doc_id"), "known")
+    counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if set(counts) != {0, 1}:
         return [], np.zeros(0, np.int64)
     share = F.create_map(*[F.lit(x) for k in (0, 1) for x in (k, int(min(1.0, per_label / counts[k]) * (1 << 20)))])
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 20)) < share[F.col("toxic")]).limit(4 * per_label)
+    ids = scratch.keep(known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < share[F.col("toxic")]).distinct().limit(4 * per_label), "ids")
+    chosen = docs.join(F.broadcast(ids), "doc_id").limit(4 * per_label)  # at most 4 * per_label ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text.blocks(batches):
@@ -295,7 +301,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out=None) -> DataFrame:
     held_out = F.coalesce(held_out, F.lit(False))
     bounded_batches(docs.sparkSession)
     known = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows, toxic = sample(docs.select("doc_id", "text").where(~held_out & F.col("text").isNotNull()).join(known, "doc_id"))
+    rows, toxic = sample(docs.select("doc_id", "text").where(~held_out & F.col("text").isNotNull()), known)
     own = train(rows, toxic) if len(rows) and len(set(toxic.tolist())) == 2 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
