@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import text
+from . import jaccard, text
 from .components import connected_components
 from .exchange import NO_ID, keyed
 from .shared import Scratch, small_enough
@@ -162,12 +162,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, chunk: int = CHUNK) ->
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of `docs` for each component, with the same columns: that of the smallest doc_id.
+    """One row of `docs` for each component of texts of 5-word Jaccard similarity 0.8 or more: that of the smallest doc_id.
 
-    A null doc_id counts as the largest; among rows of equal doc_id the least hash of the text decides.
+    The columns stay. A null doc_id counts as the largest; among rows of equal doc_id the least hash of the text decides.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    rows = grouped(docs, scratch).groupBy("root", "key_id", "key_text").agg(F.count("*").alias("n"))
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    rows = jaccard.grouped(docs, scratch).groupBy("root", "key_id", "key_text").agg(F.count("*").alias("n"))
     heads = rows.groupBy("root").agg(F.min(F.struct("key_id", "key_text", "n")).alias("h"))
     heads = scratch.keep(heads.select(F.col("h.key_id").alias("__id"), F.col("h.key_text").alias("__text"), F.col("h.n").alias("__n")), "heads")
     same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__text"))
