@@ -31,7 +31,7 @@ SPAN, STRIDE = 32, 16
 CHARS, WORDS, EMBED = 8, 6, 6
 #: Words with an embedding of their own: at most VOCABULARY, in at least LEAST_TEXTS texts of the sample; others share one.
 VOCABULARY, LEAST_TEXTS = 4096, 8
-#: A word's first and last bytes are read, LETTERS in all; few words are longer.
+#: A longer run counts as overlapping words of at most LETTERS bytes, one every half of it, that begin at a character.
 LETTERS = 32
 SAMPLE_DOCS, SAMPLE_WINDOWS = 1500, 12
 BATCH, ROUNDS, STEPS, RATE = 128, 5, 60, 0.02
@@ -43,6 +43,24 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+def pieces(buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of runs first .. last - 1; they cover every byte."""
+    stride = LETTERS // 2
+    many = np.where(last - first > LETTERS, 1 - (LETTERS - 4 - last + first) // stride, 1)  # to begin at a character takes up to 3 bytes
+    low, high = np.repeat(first, many), np.repeat(last, many)
+    start = text.ranges(np.zeros(len(first), np.int64), many) * stride + low
+    for _ in range(3):
+        start = start - ((start > low) & ((buf[start] & 0xC0) == 0x80))
+    return start, np.minimum(start + LETTERS, high)
+
+
+def words_of(raw: bytes) -> list[bytes]:
+    """The words of one text in order."""
+    buf = np.frombuffer(raw, np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], _WORD[buf].view(np.int8), [0]])))
+    return [raw[a:b] for a, b in zip(*(x.tolist() for x in pieces(buf, edge[0::2], edge[1::2])), strict=True)]
+
+
 class Words:
     """The distinct lower-cased words of texts, and for each text the numbers of its words in order (0: no word)."""
 
@@ -52,17 +70,14 @@ class Words:
         buf = _LOWER.astype(np.uint8)[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
         inside = np.concatenate([[False], _WORD[buf], [False]])
         edge = np.flatnonzero(inside[1:] != inside[:-1])
-        first, last = edge[0::2], edge[1::2]
+        first, last = pieces(buf, edge[0::2], edge[1::2])
         hashes = text.SpanHash(buf).of(first, last)
         unique, sample, number = np.unique(hashes, return_index=True, return_inverse=True)
         self.hash = np.concatenate([np.zeros(1, np.uint64), unique])
         a, b = first[sample], last[sample]
-        long = b - a > LETTERS
         place = np.arange(LETTERS)
-        head = np.minimum(a[:, None] + place, len(buf) - 1)
-        tail = b[:, None] - LETTERS + place
-        letters = buf[np.where(long[:, None] & (place >= LETTERS // 2), np.maximum(tail, 0), head)].astype(np.int64)
-        self.length = np.concatenate([[1], np.minimum(b - a, LETTERS)])
+        letters = buf[np.minimum(a[:, None] + place, len(buf) - 1)].astype(np.int64)
+        self.length = np.concatenate([[1], b - a])
         letters[place >= self.length[1:, None]] = 0
         self.letters = np.concatenate([np.zeros((1, LETTERS), np.int64), letters])
         self.number = number + 1
@@ -280,7 +295,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_DOCS, win
         for block in text.blocks(batches):
             out, toxic, seeds = [], [], []
             for raw, label, seed in zip(block.texts, block.columns["toxic"], block.columns["seed"], strict=True):
-                words = raw.translate(bytes(b if _WORD[b] else 32 for b in range(256))).split()
+                words = words_of(raw)
                 rng = np.random.default_rng(seed & ((1 << 63) - 1))
                 most = -(-len(words) // SPAN)
                 starts = [SPAN * k for k in range(most)] if most <= windows else rng.integers(0, len(words) - SPAN + 1, windows)
