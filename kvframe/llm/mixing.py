@@ -4,7 +4,8 @@ A source with n documents of N in all and target share w is to be repeated w N'
 size asked for. Every document gets a number of copies from the Poisson distribution of that mean: the uniform
 number that an md5 of its id and text seeds is inverted, so the same seed gives the same mixture however the rows are dealt. The rows
 are exploded by their counts and put in a global order by the md5 of document and copy, range-partitioned, so no
-source or document makes a partition large.
+source or document makes a partition large. A document of more than RUN draws is exploded into runs of draws first,
+which are shuffled before they are drawn, so one that is to come a million times is no task of its own either.
 
 Means over PIECE are split into equal parts, each inverted by itself. A null source is a source of its own; sources
 without a weight are left out, weights of sources without documents are spread over the others in proportion. An
@@ -14,7 +15,7 @@ through unchanged, but for those named copy, copies and shuffle_key, which are r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, input_bytes, small_enough
@@ -22,6 +23,9 @@ from .shared import Scratch, input_bytes, small_enough
 PIECE = 16.0
 #: Stored input for each partition of the mixture, where the session's number of partitions would make them larger.
 PARTITION_BYTES = 128 << 20
+MOST_PARTITIONS = 1 << 20
+#: Draws that one row makes; a document of more, of a source of few documents and a large weight, is dealt out.
+RUN = 256
 SEED = 42
 #: Least chance that is told apart: 52 bits of an md5.
 _STEPS = 2.0**52
@@ -80,18 +84,45 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     ident = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("null")), digest)
     rows = rows.withColumn("__ident", ident).join(small_enough(table, scratch.bytes("rates")), F.col(source).eqNullSafe(F.col("__source")))
-    drawn = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda held, j: held + poisson(F.col("__chances"), uniform(F.col("__ident"), j.cast("string"))))
-    rows = rows.select(*names, "__ident", drawn.alias("copies"))
+    usual = rows.where(F.col("__parts") <= RUN).select(*names, "__ident", _drawn(F.lit(1), F.col("__parts")).alias("copies"), F.lit(0).alias("__before"))
+    usual = usual.withColumn("__own", F.col("copies"))
+    often = table.where(F.col("__parts") > RUN)
+    if not often.isEmpty():
+        usual = usual.unionByName(_dealt(rows.where(F.col("__parts") > RUN), names, parts_of(spark, docs), scratch))
     # explode_outer: of explode Spark would infer a filter, which would draw a second time
-    copied = rows.select("*", F.posexplode_outer(F.array_repeat(F.lit(True), F.col("copies"))).alias("__at", "__one")).where("__at IS NOT NULL")
-    order = F.md5(F.concat_ws(":", F.col("__ident"), (F.col("__at") + 1).cast("string"), F.lit("order")).cast("binary"))
-    copied = copied.select(*names, "copies", (F.col("__at") + 1).alias("copy"), order.alias("shuffle_key"))
+    copied = usual.select("*", F.posexplode_outer(F.array_repeat(F.lit(True), F.col("__own"))).alias("__at", "__one")).where("__at IS NOT NULL")
+    copied = copied.withColumn("copy", (F.col("__at") + F.col("__before") + 1).cast("int"))
+    order = F.md5(F.concat_ws(":", F.col("__ident"), F.col("copy").cast("string"), F.lit("order")).cast("binary"))
+    copied = copied.select(*names, F.col("copies").cast("int").alias("copies"), "copy", order.alias("shuffle_key"))
     # an md5 is uniform, so the bounds of an even range partitioning are known without a look at the rows
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // PARTITION_BYTES)
+    parts = parts_of(spark, docs)
     part = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("double") / 2.0**32 * parts).cast("int")
     return copied.repartitionById(parts, part).sortWithinPartitions("shuffle_key", key, "copy")
 
 
+def _drawn(first: Column, last: Column) -> Column:
+    """The sum of a document's draws `first` to `last`."""
+    return F.aggregate(F.sequence(first, last), F.lit(0), lambda held, j: held + poisson(F.col("__chances"), uniform(F.col("__ident"), j.cast("string"))))
+
+
+def _dealt(rows: DataFrame, names: list[str], parts: int, scratch: Scratch) -> DataFrame:
+    """Documents of so many draws that they are dealt out in runs of RUN: names, __ident, copies, and for each run how many copies it has and how many come before."""
+    runs = rows.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("__parts") - 1) / RUN).cast("int"))).alias("__run"))
+    runs = runs.repartition(parts, "__ident", "__run")
+    first, last = F.col("__run") * RUN + 1, F.least((F.col("__run") + 1) * RUN, F.col("__parts"))
+    drawn = runs.select(*names, "__ident", "__run", _drawn(first, last).alias("__own"))
+    sums = drawn.select("__ident", "__run", "__own").distinct()
+    own = Window.partitionBy("__ident")
+    sums = sums.select("__ident", "__run", F.sum("__own").over(own).alias("copies"), (F.sum("__own").over(own.orderBy("__run")) - F.col("__own")).alias("__before"))
+    sums = scratch.keep(sums, "runs")
+    return drawn.join(small_enough(sums, scratch.bytes("runs")), ["__ident", "__run"]).select(*names, "__ident", "copies", "__before", "__own")
+
+
+def parts_of(spark: SparkSession, docs: DataFrame) -> int:
+    """The session's number of partitions, or more where they would be large."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, input_bytes(docs) // PARTITION_BYTES))
+
+
 #: The mixture of op9 and the pipeline: equal weights.
 ORACLE = """
 WITH d AS (SELECT doc_id, text, lang, source, n_chars, coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, '')) AS ident FROM documents),

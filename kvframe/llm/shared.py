@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,16 +11,20 @@ from pyspark.sql import functions as F
 
 #: Largest side, in bytes of its stored form, that is broadcast; beyond it the join is shuffled.
 BROADCAST_BYTES = 32 << 20
+#: Spark's stand-in for the size of what it knows nothing of is larger than this.
+UNKNOWN_BYTES = 1 << 60
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`; where that is unset and all run in one process (tests), a new one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kvframe-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -61,5 +66,11 @@ def small_enough(df: DataFrame, stored: int) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input's size: file sizes at the leaves; at least 1."""
-    return max(1, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+    """Bytes of the files that a frame is made from, at least 1: the sizes of its plan's leaves, each as often as it is read.
+
+    (Catalyst's estimate of the frame itself is no measure: that of a join is the product of its sides.) Leaves
+    without files count by their rows, those of unknown size not at all.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(1, sum(n for n in sizes if n < UNKNOWN_BYTES))

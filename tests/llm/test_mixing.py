@@ -54,3 +54,26 @@ def test_against_sql(spark, sf):
     db = duckdb.connect()
     db.sql(f"CREATE VIEW documents AS SELECT * FROM '/root/testdata/{sf}/documents.parquet'")
     assert got == sorted(db.sql(queries.ORACLE_SQL["op9_mixing"]).fetchall())
+
+
+def test_one_document_that_comes_often(spark):
+    rows = [(1, "often", "a"), *[(k, f"t{k}", "b") for k in range(2, 40)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix_sources(docs, {"a": 100.0, "b": 1.0}, 101_000)
+    got = found.select("doc_id", "copy", "copies").collect()
+    assert sum(r.doc_id == 1 for r in got) == brute(1, "often", 100_000) > 99_000
+    assert {r.copy for r in got if r.doc_id == 1} == set(range(1, brute(1, "often", 100_000) + 1))
+    assert {r.copies for r in got if r.doc_id == 1} == {brute(1, "often", 100_000)}
+    sizes = [len(x) for x in found.select("doc_id").rdd.glom().collect()]
+    assert max(sizes) < 2 * sum(sizes) / len(sizes)
+    runs = mixing._dealt(docs.where("doc_id = 1").selectExpr("*", "'42:1:x' AS __ident", "6250 AS __parts", "array(0.5D) AS __chances"), docs.columns, 8, mixing.Scratch(spark, "test"))
+    assert sum(n > 0 for n in map(len, runs.rdd.glom().collect())) > 4
+
+
+def test_sizes_of_frames_without_files(spark):
+    from kvframe.llm.shared import input_bytes
+
+    frame = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    files = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert input_bytes(frame) < 1 << 20
+    assert input_bytes(files.join(files.select("doc_id"), "doc_id").join(frame.select("doc_id"), "doc_id")) < 10 << 20
