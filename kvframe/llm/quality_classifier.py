@@ -57,7 +57,7 @@ def vote(block: text.Block) -> np.ndarray:
     share = np.zeros(len(block))
     if len(starts) > 2:
         fits = np.flatnonzero(first[row + 1] - np.arange(len(starts)) >= 3)
-        words = text.SpanHash(buf).of(starts, ends)
+        words = block.word_hashes()
         windows = text.SpanHash(words).of(fits, fits + 3) ^ text.mix(row[fits].astype(np.uint64) + np.uint64(1))
         _, which, size = np.unique(windows, return_inverse=True, return_counts=True)
         twice = fits[size[which] > 1]
@@ -113,7 +113,7 @@ def features(block: text.Block) -> tuple[np.ndarray, np.ndarray]:
     before = np.concatenate([np.zeros(1, np.uint64), shape])[: len(shape)]
     tail = text.SpanHash(kinds).of(np.maximum(starts, ends - 3), ends)
     length = np.minimum(ends - starts, 30).astype(np.uint64)
-    word = text.SpanHash(block.buf).of(starts, ends)
+    word = block.word_hashes()
     again = np.zeros(len(word), np.uint64)
     again[1:] = word[1:] == word[:-1]
     parts = [shape, text.mix(shape + text.mix(before)), tail ^ np.uint64(0x5BD1E995), text.mix(length + np.uint64(7919)), text.mix(again + np.uint64(104729))]

@@ -5,6 +5,8 @@ unique stay where they are), neighbours' longest common prefixes come from the k
 the LCP array of at least LEAST words is a repeated substring. The union of the spans of the maximal ones is the
 covered part. A text is rejected if the covered fraction or the longest repeat is over its limit.
 
+Words are numbered by their bytes, so nothing rests on hashes; the windows of the base rule are the same suffixes with
+a common prefix of three words. A text of any length is read whole, in memory of some 100 bytes for each word.
 Null and empty texts have no words and fail the base rule. Extra columns are ignored, repeated rows give repeated rows.
 """
 
@@ -81,19 +83,23 @@ def common_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
     return lcp
 
 
-def repetition(symbols: np.ndarray, group: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each position the length of the longest repeat (of at least `least`) that starts there, and whether a repeat covers it.
+def longest_repeats(symbols: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each position the length of the longest substring that starts there and somewhere else in its group.
 
-    A suffix's longest repeat is the larger of the LCPs with its neighbours: the LCP interval of that length holds it,
-    and the spans of all maximal repeats have the same union as these.
+    That is the larger of the LCPs with the two neighbours: the LCP interval of that length holds the suffix, and the
+    spans of all intervals' substrings have the same union as these (tests/llm holds it against the intervals).
     """
     order, levels = suffix_ranks(symbols, group)
     lcp = common_prefixes(order, levels)
     best = np.zeros(len(order), np.int64)
     best[order] = np.maximum(lcp, np.append(lcp[1:], 0))
-    best[best < least] = 0
-    at = np.flatnonzero(best)
-    return best, text.covered(len(order), at, at + best[at])
+    return best
+
+
+def spans_covered(best: np.ndarray, least: int, most: int | None = None) -> np.ndarray:
+    """Which positions a repeat of `least` or more covers; of longer repeats the first `most` positions count."""
+    at = np.flatnonzero(best >= least)
+    return text.covered(len(best), at, at + (best[at] if most is None else np.minimum(best[at], most)))
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -118,18 +124,9 @@ def measure(block: text.Block, least: int) -> list[np.ndarray]:
     if not n:
         none = np.zeros(rows, np.int64)
         return [n_words, word_chars, symbols, dup_lines, none, none, none]
-    words = text.SpanHash(block.buf).of(starts, ends)
-    triple = np.zeros(n, bool)
-    fits = np.flatnonzero(first[group + 1] - np.arange(n) >= 3)
-    if len(fits):
-        windows = text.SpanHash(words).of(fits, fits + 3)
-        order = np.lexsort((windows, group[fits]))
-        sorted_windows, sorted_group = windows[order], group[fits][order]
-        same = np.zeros(len(order) + 1, bool)
-        same[1:-1] = (sorted_windows[1:] == sorted_windows[:-1]) & (sorted_group[1:] == sorted_group[:-1])
-        twice = fits[order[same[1:] | same[:-1]]]
-        triple = text.covered(n, twice, twice + 3)
-    best, cover = repetition(words, group, least)
+    best = longest_repeats(block.word_numbers(), group)
+    triple, cover = spans_covered(best, 3, 3), spans_covered(best, least)
+    best[best < least] = 0
     longest = np.zeros(rows, np.int64)
     np.maximum.at(longest, group, best)
     return [n_words, word_chars, symbols, dup_lines, _sums(triple, first), _sums(cover, first), longest]

@@ -3,7 +3,9 @@
 Every document is cut into non-overlapping reference blocks of 25 words; their hashes are the index. Every rolling
 window of 25 words of every document probes it. A repeated 50-word window holds a whole reference block, so each
 repeat gets a hit; hits are extended to the 50-word windows around them, which must agree with a window of a
-document of smaller id in 96 hash bits; runs of such windows are the maximal exact repeats that are removed.
+document of smaller id in a 128-bit BLAKE2b digest of their own words, joined by single spaces (the index's hashes
+only find candidates); runs of such windows are the maximal exact repeats that are removed. Very long texts are a
+block of their own; nothing is cut.
 
 Null and empty texts have no words. Rows without doc_id are judged against all others and never count as earlier;
 rows of equal doc_id are not earlier than one another. Extra columns are ignored.
@@ -32,7 +34,7 @@ def _word_hashes(block: text.Block, width: int):
     starts, ends, first = block.words()
     if len(starts) < width:
         return None
-    words = text.SpanHash(block.buf).of(starts, ends)
+    words = block.word_hashes()
     row = np.repeat(np.arange(len(block)), np.diff(first))
     index = np.arange(len(words))
     return words, first, row, index - first[row], first[row + 1] - index
@@ -83,8 +85,10 @@ def extensions(window: int, size: int):
         if not len(at):
             return None
         ids = np.array(block.columns["key_id"], np.int64).view(np.uint64)
-        one, two = text.SpanHash(words), text.SpanHash(words, 1)
-        return [one.of(at, at + window), two.of(at, at + window) >> np.uint64(32), ids[row[at]], at], first
+        parts = block.joined.split()
+        begin = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)])
+        exact = text.digests(b" ".join(parts), begin[at], begin[at + window] - 1)
+        return [exact[:, 0], exact[:, 1], ids[row[at]], at], first
 
     return records
 

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 1 << 20
 #: Odd multipliers; the second is for an independent hash.
@@ -28,7 +30,8 @@ class Block:
         self.texts, self.columns = texts, columns
         self.size = np.fromiter(map(len, texts), np.int64, len(texts))
         self.start = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.size + 1)])
-        self.buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        self.joined = b"\n".join(texts) + b"\n"
+        self.buf = np.frombuffer(self.joined, np.uint8)
 
     def __len__(self) -> int:
         return len(self.texts)
@@ -43,6 +46,27 @@ class Block:
         return starts, ends, np.searchsorted(starts, self.start)
 
 
+    def word_hashes(self) -> np.ndarray:
+        """A 64-bit hash of every word, each different word hashed once. No polynomial, so no pattern of letters makes words meet."""
+        return np.fromiter(map(_Hashes().__getitem__, self.joined.split()), np.uint64)
+
+    def word_numbers(self) -> np.ndarray:
+        """Equal words have equal numbers, others others; in order of their first place."""
+        return np.fromiter(map(_Numbers().__getitem__, self.joined.split()), np.int64)
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word, 42)
+        return found
+
+
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = len(self)
+        return found
+
+
 def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES, text: str = "text") -> Iterator[Block]:
     """The rows of an Arrow stream in order, cut into blocks; the other columns come along as lists."""
     for batch in batches:
@@ -89,7 +113,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class SpanHash:
-    """Hash of any span of a sequence, in constant time after one pass; equal spans, equal values wherever they lie."""
+    """Hash of any span of a sequence, in constant time after one pass; equal spans, equal values wherever they lie.
+
+    A filter: a polynomial modulo 2**64 is the same for some long patterns that differ, so what a result rests on is
+    compared in its bytes or by digests of them.
+    """
 
     def __init__(self, values: np.ndarray, which: int = 0):
         n, self.base = len(values), BASES[which]
@@ -117,6 +145,13 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - first, counts)
 
 
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit BLAKE2b digests of spans of bytes, as rows of two numbers."""
+    blake = hashlib.blake2b
+    out = b"".join([blake(data[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(out, np.uint64).reshape(-1, 2)
+
+
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true values."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))

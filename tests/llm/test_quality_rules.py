@@ -77,3 +77,39 @@ def test_query_on_table(spark):
     db = duckdb.connect()
     db.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     assert sorted(db.sql(queries.ORACLE_SQL["op10_quality_rules"]).fetchall(), key=str) == contract
+
+
+def thue_morse(n, one="!", two="a"):
+    """Two words of n letters that polynomials modulo 2**64 cannot tell apart once n is 1,024."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join((one, two)[b] for b in bits), "".join((two, one)[b] for b in bits)
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    for n, letters in ((1024, "!a"), (2048, "ab"), (4096, "ab")):
+        a, b = thue_morse(n, *letters)
+        filler = " ".join(f"w{k}" for k in range(60))
+        t = f"p {a} q {filler} p {b} q"
+        got = quality_rules.quality_rules(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
+        assert tuple(got)[1:] == brute(t) and got.n_repeat_words == 0
+
+
+def test_neighbours_cover_what_the_intervals_cover():
+    rng = random.Random(3)
+    for _ in range(60):
+        s = [rng.randint(0, 2) for _ in range(rng.randint(2, 60))]
+        least, spans = rng.randint(1, 4), set()
+        order, levels = quality_rules.suffix_ranks(np.array(s), np.zeros(len(s), np.int64))
+        lcp = quality_rules.common_prefixes(order, levels).tolist()
+        for i in range(1, len(s)):  # every LCP interval of at least `least`: [lo, hi] with lcp > its neighbours'
+            if lcp[i] < least:
+                continue
+            lo, hi = i, i
+            while lcp[lo - 1] >= lcp[i]:
+                lo -= 1
+            while hi + 1 < len(s) and lcp[hi + 1] >= lcp[i]:
+                hi += 1
+            for at in order[lo - 1 : hi + 1].tolist():
+                spans |= set(range(at, at + lcp[i]))
+        best = quality_rules.longest_repeats(np.array(s), np.zeros(len(s), np.int64))
+        assert set(np.flatnonzero(quality_rules.spans_covered(best, least)).tolist()) == spans

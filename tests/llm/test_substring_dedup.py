@@ -75,3 +75,23 @@ def against_sql(sf):
     db = duckdb.connect()
     db.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     return db.sql(queries.ORACLE_SQL["op2_substring_dedup"]).fetchall()
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    from test_quality_rules import thue_morse
+
+    rows, d = [], 0
+    for n, letters in ((1024, "!a"), (2048, "ab")):
+        for odd in thue_morse(n, *letters):
+            rows.append((d := d + 1, " ".join([f"w{n}{k}" for k in range(30)] + [odd] + [f"v{n}{k}" for k in range(29)])))
+    rows.append((9, "x " + rows[0][1]))
+    got = digest(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == brute(rows) and [r[2] for r in got] == [0, 0, 0, 0, 60]
+
+
+def test_very_long_text(spark):
+    rng = random.Random(2)
+    passage = " ".join(f"p{k}" for k in range(80))
+    long = " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(300_000))
+    rows = [(1, passage), (2, long + " " + passage + " " + long[:9000])]
+    assert digest(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
