@@ -25,6 +25,8 @@ PACKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.b
 PICKED = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
 SPANS = pa.schema([("key_id", pa.int64()), ("key_text", pa.int64()), ("spans", pa.binary())])
 NO_ID = (1 << 63) - 1
+#: Keys for rows that go straight to their block's answer.
+HOMES = 1 << 20
 #: What a row for a block holds: its directory, the other places of its records, picked answers.
 ROWS, OTHERS, PICKS = 0, 1, 2
 
@@ -41,7 +43,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def bucket_bits(input_bytes: int, least: int = 6) -> int:
     """log2 of the number of buckets."""
-    return int(min(22, max(least, np.ceil(np.log2(max(1, input_bytes / BUCKET_INPUT_BYTES))))))
+    return int(min(28, max(least, np.ceil(np.log2(max(1, input_bytes / BUCKET_INPUT_BYTES))))))
 
 
 def pack(fields: list[np.ndarray]) -> bytes:
@@ -72,12 +74,33 @@ def directory(block: text.Block, first: np.ndarray) -> bytes:
     return pack([*keys, first[: len(block)]])
 
 
-def sender(records: Callable[[text.Block], tuple[list[np.ndarray], np.ndarray] | None], bits: int) -> Callable:
-    """mapInArrow function. `records` gives a block's hashes, further fields, last the place of each record, and where rows begin.
+def parcel(name: int, fields: list[np.ndarray], listed: bytes, bits: int) -> pa.RecordBatch:
+    """A block's records by bucket. Records that agree in all but the place (the last field) are sent once, with a field before the place that says so; the block keeps the other places.
 
-    Records that agree in all but the place are sent once, with a field before the place that says so; the block keeps
-    the other places. However often a hash occurs, a block sends it once.
+    The rows that only the block's own answer needs (its directory, the other places) go by a mix of the block's
+    name, so they spread over all tasks. However often a hash occurs, a block sends it once.
     """
+    order = np.lexsort(fields[-2::-1]) if len(fields) > 2 else np.argsort(fields[0], kind="stable")
+    *fields, place = [x[order] for x in fields]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = np.any([x[1:] != x[:-1] for x in fields], axis=0)
+    begin = np.flatnonzero(fresh)
+    size = np.diff(np.append(begin, len(order)))
+    others = np.stack([np.repeat(place[begin], size), place], 1)[~fresh]
+    others = others[np.argsort(others[:, 0], kind="stable")]
+    bucket = (fields[0][begin] >> np.uint64(64 - bits)).astype(np.int64)
+    sent = [fields[0][begin] & np.uint64((1 << (64 - bits)) - 1), *(x[begin] for x in fields[1:]), size > 1, place[begin]]
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+    home = -1 - int(text.mix(np.array([name], np.uint64))[0] % np.uint64(HOMES))
+    keys, values = [home] * 2, [bytes([ROWS]) + listed, bytes([OTHERS]) + pack([others[:, 0], others[:, 1]])]
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        keys.append(int(bucket[a]))
+        values.append(pack([x[a:b] for x in sent]))
+    return pa.record_batch([pa.array(keys, pa.int32()), pa.array([name] * len(keys), pa.int64()), pa.array(values, pa.binary())], schema=PACKED)
+
+
+def sender(records: Callable[[text.Block], tuple[list[np.ndarray], np.ndarray] | None], bits: int) -> Callable:
+    """mapInArrow function. `records` gives a block's hashes, further fields, last the place of each record, and where rows begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count = TaskContext.get().partitionId(), 0
@@ -85,25 +108,8 @@ def sender(records: Callable[[text.Block], tuple[list[np.ndarray], np.ndarray] |
             got = records(block)
             if got is None or not len(got[0][0]):
                 continue
-            fields, first = got
-            name = (part << 32) | count
+            yield parcel((part << 32) | count, got[0], directory(block, got[1]), bits)
             count += 1
-            order = np.argsort(fields[0], kind="stable")
-            *fields, place = [x[order] for x in fields]
-            fresh = np.ones(len(order), bool)
-            fresh[1:] = np.any([x[1:] != x[:-1] for x in fields], axis=0)
-            begin = np.flatnonzero(fresh)
-            size = np.diff(np.append(begin, len(order)))
-            others = np.stack([np.repeat(place[begin], size), place], 1)[~fresh]
-            others = others[np.argsort(others[:, 0], kind="stable")]
-            bucket = (fields[0][begin] >> np.uint64(64 - bits)).astype(np.int64)
-            sent = [fields[0][begin] & np.uint64((1 << (64 - bits)) - 1), *(x[begin] for x in fields[1:]), size > 1, place[begin]]
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-            keys, values = [-1 - name % 1024] * 2, [bytes([ROWS]) + directory(block, first), bytes([OTHERS]) + pack([others[:, 0], others[:, 1]])]
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                keys.append(int(bucket[a]))
-                values.append(pack([x[a:b] for x in sent]))
-            yield pa.record_batch([pa.array(keys, pa.int32()), pa.array([name] * len(keys), pa.int64()), pa.array(values, pa.binary())], schema=PACKED)
 
     return run
 
@@ -178,15 +184,20 @@ def covering(width: int) -> Callable:
     return finish
 
 
-def exchange(rows: DataFrame, records: Callable, bits: int, count: int, pick: Callable, finish: Callable, shift: int = 0) -> DataFrame:
+def exchange(rows: DataFrame, send: Callable, count: int, pick: Callable, finish: Callable, shift: int = 0) -> DataFrame:
     """key_id, key_text, spans: what `pick` has picked of the records of `rows`, one row for each key.
 
-    `count` is the number of a record's fields as sent: with the one that says whether it stands for several.
+    `send` is a mapInArrow function that makes parcels, and `count` the number of a record's fields as sent: with the one that says whether it stands for several.
     """
-    packed = rows.mapInArrow(sender(records, bits), "bucket int, block long, data binary")
+    packed = rows.mapInArrow(send, "bucket int, block long, data binary")
     picked = packed.groupBy("bucket").applyInArrow(receiver(count, pick), "block long, kind int, data binary")
     spans = picked.groupBy("block").applyInArrow(gatherer(finish, shift), "key_id long, key_text long, spans binary")
-    joined = F.aggregate(F.collect_set("spans"), F.lit(b""), lambda a, x: F.concat(a, x))  # rows of one key in several blocks: what any of them has
+    return merged(spans)
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """One row for each key; of rows of one key (in several blocks, or from several steps) what any of them has."""
+    joined = F.aggregate(F.collect_set("spans"), F.lit(b""), lambda a, x: F.concat(a, x))
     return spans.groupBy("key_id", "key_text").agg(joined.alias("spans"))
 
 

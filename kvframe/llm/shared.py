@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest side, in bytes of its stored form, that is broadcast; beyond it the join is shuffled.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 #: Spark's stand-in for the size of what it knows nothing of is larger than this.
 UNKNOWN_BYTES = 1 << 60
 

@@ -133,9 +133,9 @@ def _found(docs: DataFrame, window: int) -> tuple[DataFrame, int]:
     size = window // 2
     rows, scratch = ex.keyed(docs), Scratch(docs.sparkSession, "substring")
     bits = ex.bucket_bits(input_bytes(docs), 8)
-    hits = scratch.keep(ex.exchange(rows, anchors(size), bits, 4, pick_hits, ex.covering(1)), "hits")
+    hits = scratch.keep(ex.exchange(rows, ex.sender(anchors(size), bits), 4, pick_hits, ex.covering(1)), "hits")
     wide = ex.with_spans(rows, hits, scratch.bytes("hits"))
-    found = scratch.keep(ex.exchange(wide, extensions(window, size), max(6, bits - 2), 5, pick_later, ex.covering(window)), "found")
+    found = scratch.keep(ex.exchange(wide, ex.sender(extensions(window, size), max(6, bits - 2)), 5, pick_later, ex.covering(window)), "found")
     return found, scratch.bytes("found")
 
 

@@ -1,39 +1,47 @@
 """Suffix-array dedup: distributed prefix doubling over a sparse set of suffixes.
 
-A repeated string of LENGTH bytes is found by ranking suffixes by growing prefixes; suffixes whose prefix is unique
-drop out, and those whose repeated prefix is past the threshold are done. A rank is the 64-bit fingerprint of its
-prefix, and the rank of the doubled prefix is that of the pair (rank at i, rank at i + h); each round sorts the
-pairs of all suffixes that are left, bucket by bucket of the ranks.
-
-Round 0 takes a sample of suffixes that any two equal strings share: for every start p, the least of the ranks of
-the GRAM-byte prefixes inside p's LENGTH bytes marks one suffix, its anchor. The starts with one anchor form a
-stretch. If the anchor's prefix is unique, all strings of the stretch are. If the stretch's whole text (from its
-first start to the end of its last string) occurs again, it is past the threshold. What is left, with one stretch for
-each repeated text that such a stretch may match, goes on start by start: round 1 ranks 2 GRAM bytes by pairs at
-offset GRAM, round 2 4 GRAM = LENGTH bytes by pairs at offset 2 GRAM.
-
-Null and empty texts have no bytes. Repeated rows repeat each other's strings. Extra columns are ignored.
+A string of LENGTH bytes repeats if its start's rank by LENGTH bytes is not its own. Ranking all positions of a corpus
+would take many times the input on disk, so three steps leave ever fewer to the next.
+
+1. Anchors. Every start p has one anchor, the suffix inside p's LENGTH bytes whose first LENGTH / 4 bytes have the
+   least hash, so equal strings have their anchors at the same place in them. Starts of one anchor form a stretch. If
+   no other anchor has its hash, no string of the stretch repeats; if the text of the whole stretch occurs again
+   (by its 128-bit digest), all do. Of each such text one stretch goes on if others of the same anchor do.
+2. Doubling. In the stretches that go on, the suffixes on a grid of some bytes, aligned to the anchor, are ranked: first
+   by the bytes up to the next grid point, then by the pairs of ranks at offsets of 1, 2, 4 ... grid steps. In each
+   round Spark deals the pairs out by range, each range is sorted, and the place of a pair in this order is the new
+   rank, so ranks order the suffixes by their first bytes. Suffixes of a rank of their own drop out; the rounds end
+   past the threshold. Then a pair of the last ranks stands for the bytes that all starts between two grid points share
+   (nothing repeats if these do not) and another for all bytes of their strings (all repeat if these do).
+3. Starts. What is left is near the ends of repeats; these starts are compared one by one, by 128-bit digests.
+
+Null and empty texts have no bytes. Repeated rows repeat each other's strings. Extra columns are ignored. A very long
+text is read whole, as a block of its own; memory goes with the longest text, some 50 bytes for each of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import exchange as ex
 from . import text
 from .shared import Scratch, input_bytes, small_enough
 
 LENGTH = 400
-GRAM = LENGTH // 4
-#: Low bits of a sort key that hold a place, so that the leftmost of equal ranks is least.
+#: Low bits of a sort key that hold a place, so that the leftmost of equal hashes is least.
 PLACE_BITS = 24
 SEGMENT = 1 << 22
 _FLAGS = 10  # a stretch has fewer starts than 2**9, and one bit says whether it is open
+#: Pairs for each range of a round, ranges at most, and sampled pairs for each range, from which the bounds come.
+RANGE_PAIRS, MOST_RANGES, SAMPLE = 1 << 16, 1 << 16, 16
 
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -48,105 +56,404 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:count], ahead[width - 1 : width - 1 + count])
 
 
-def anchor_places(ranks: np.ndarray, width: int) -> np.ndarray:
-    """For every `width` consecutive ranks the place of the least, leftmost of equal ones."""
-    out = np.empty(len(ranks) - width + 1, np.int64)
+def anchor_places(hashes: np.ndarray, width: int) -> np.ndarray:
+    """For every `width` consecutive hashes the place of the least, leftmost of equal ones."""
+    out = np.empty(len(hashes) - width + 1, np.int64)
     low = np.uint64((1 << PLACE_BITS) - 1)
     for at in range(0, len(out), SEGMENT):
-        part = ranks[at : at + SEGMENT + width - 1]
+        part = hashes[at : at + SEGMENT + width - 1]
         least = sliding_least(part & ~low | np.arange(len(part), dtype=np.uint64), width)[:SEGMENT]
         out[at : at + len(least)] = (least & low).astype(np.int64) + at
     return out
 
 
-def stretches(length: int, gram: int):
-    """Records of round 0: rank of the anchor's prefix, fingerprint of the stretch's text, its starts less one, its place."""
+def _anchors(block: text.Block, length: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Hash of the length // 4 bytes at each place of a block, and the anchor of each start (those of strings across rows mean nothing)."""
+    if len(block.buf) < length:
+        return None
+    gram = length // 4
+    hashes = text.SpanHash(block.buf).rolling(gram, len(block.buf) - gram + 1)
+    return hashes, anchor_places(hashes, length - gram + 1)
+
+
+# -- step 1: anchors ---------------------------------------------------------------------------------------------------
+
+
+def stretches(length: int):
+    """Records: hash of the anchor's bytes, digest of the stretch's text (two numbers), its starts less one, its place."""
 
     def records(block: text.Block):
-        n = len(block.buf)
-        if n < length:
+        found = _anchors(block, length)
+        if found is None:
             return None
-        whole = text.SpanHash(block.buf)
-        ranks = whole.rolling(gram, n - gram + 1)
-        anchor = anchor_places(ranks, length - gram + 1)
+        hashes, anchor = found
+        ends = block.start + np.append(block.size, 0)
         row = np.repeat(np.arange(len(block)), block.size + 1)[: len(anchor)]
-        fits = np.arange(len(anchor)) + length <= (block.start + np.append(block.size, 0))[row]
+        fits = np.arange(len(anchor)) + length <= ends[row]
         fresh = np.ones(len(anchor), bool)
         fresh[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
         first = np.flatnonzero(fresh & fits)
         if not len(first):
             return None
         stop = np.append(np.flatnonzero(fresh), len(anchor))  # a stretch ends where the next begins or the text is too short
-        last = np.minimum(stop[np.searchsorted(stop, first, "right")] - 1, (block.start + np.append(block.size, 0))[row[first]] - length)
-        return [ranks[anchor[first]], whole.of(first, last + length), last - first, first], block.start
+        last = np.minimum(stop[np.searchsorted(stop, first, "right")] - 1, ends[row[first]] - length)
+        exact = text.digests(block.joined, first, last + length)
+        return [hashes[anchor[first]], exact[:, 0], exact[:, 1], last - first, first], block.start
 
     return records
 
 
 def pick_stretches(fields: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(Fields: rank, text, starts less one, whether it stands for several, place.) Stretches with a repeated anchor prefix; the answer's low bits: starts less one, and whether the stretch goes on."""
-    order, fresh = ex.classes(fields[0], [fields[1]])
-    ranks = fields[0][order]
+    """(Fields: hash, digest, starts less one, whether it stands for several, place.) Stretches whose anchor occurs again; the answer's low bits: starts less one, whether its text occurs again, whether it goes on."""
+    hashes, one, two, starts, several, place = fields
+    order, fresh = ex.classes(hashes, [one, two])
+    own = hashes[order]
     head = np.ones(len(order), bool)
-    head[1:] = ranks[1:] != ranks[:-1]
+    head[1:] = own[1:] != own[:-1]
     group, alike = np.cumsum(head) - 1, np.cumsum(fresh) - 1
-    weight = 1.0 + fields[3][order]
+    weight = 1.0 + several[order]
     repeated = np.bincount(group, weight)[group] > 1
     past = np.bincount(alike, weight)[alike] > 1
     open_ = repeated & ~past
     onward = open_ | fresh & (np.bincount(group, open_)[group] > 0)
     flags, answers = np.zeros(len(order), bool), np.zeros(len(order), np.uint64)
     flags[order] = repeated
-    answers[order] = fields[4][order] << np.uint64(_FLAGS + 1) | fields[2][order] << np.uint64(2) | past.astype(np.uint64) << np.uint64(1) | onward.astype(np.uint64)
+    answers[order] = place[order] << np.uint64(_FLAGS + 1) | starts[order] << np.uint64(2) | past.astype(np.uint64) << np.uint64(1) | onward.astype(np.uint64)
     return flags, answers
 
 
 def stretch_spans(answers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """first start, last start, past the threshold, goes on."""
+    """first start, last start, whether the text occurs again, whether it goes on."""
     place = answers >> (_FLAGS + 1)
     row = ex.owners(place, first)
     start = place - first[row]
     return row, np.stack([start, start + (answers >> 2 & (1 << (_FLAGS - 1)) - 1), answers >> 1 & 1, answers & 1], 1).astype(np.int32)
 
 
-def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return text.mix(left * np.uint64(text.BASES[0]) + right)
+# -- step 2: doubling --------------------------------------------------------------------------------------------------
 
 
-def _starts(block: text.Block, spans_of) -> np.ndarray:
-    """Places in the block of the starts in each row's spans (first, end)."""
-    out = [np.zeros(0, np.int64)]
-    for r, data in enumerate(block.columns["spans"]):
-        if data:
-            spans = spans_of(data)
-            out.append(text.ranges(spans[:, 0] + block.start[r], spans[:, 1] - spans[:, 0]))
-    return np.unique(np.concatenate(out))
+def _only_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array([bool(ex.span_list(x, 4)[:, 3].any()) for x in batch.column("spans").to_pylist()], pa.bool_()))
 
 
-def _ranked(whole: text.SpanHash, at: np.ndarray, gram: int, doublings: int) -> np.ndarray:
-    """Rank of the prefix of gram * 2**doublings bytes, by pairs of ranks."""
-    if not doublings:
-        return whole.of(at, at + gram)
-    return _pairs(_ranked(whole, at, gram, doublings - 1), _ranked(whole, at + (gram << (doublings - 1)), gram, doublings - 1))
+class Ladder:
+    """The grid and the rounds of a length: strings of `grid` bytes first, `top` bytes last, then `core` and `cover`."""
 
+    def __init__(self, length: int):
+        self.length = length
+        self.grid = 1
+        while 2 * self.grid <= length // 12:
+            self.grid *= 2
+        self.core = (length - self.grid + 1) // self.grid * self.grid
+        self.cover = self.grid + -(-length // self.grid) * self.grid
+        self.top = self.grid
+        while 2 * self.top <= self.core:
+            self.top *= 2
+        self.gap = 1 << (2 * length).bit_length()  # between the regions of a block, so that no offset leads from one into the next
 
-def doubled(gram: int, doublings: int, spans_of, second: bool):
-    """Records of a later round: the pairs' rank, with 32 further bits of another fingerprint if `second`."""
+    def offsets(self, width: int) -> list[int]:
+        """Where strings of `top` bytes begin that together make up `width` bytes."""
+        return [*range(0, width - self.top, self.top), width - self.top]
 
-    def records(block: text.Block):
-        at = _starts(block, spans_of)
-        if not len(at):
-            return None
-        fields = [_ranked(text.SpanHash(block.buf), at, gram, doublings)]
-        if second:
-            fields.append(text.SpanHash(block.buf, 1).of(at, at + (gram << doublings)) >> np.uint64(32))
-        return [*fields, at], block.start
 
-    return records
+def unique_rows(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The distinct rows in order, whether each occurs more than once, and for each given row its place among them."""
+    order = np.lexsort(columns[::-1])
+    fresh = np.ones(len(order), bool)
+    if len(order):
+        fresh[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
+    where = np.empty(len(order), np.int64)
+    where[order] = np.cumsum(fresh) - 1
+    begin = np.flatnonzero(fresh)
+    return [c[order[begin]] for c in columns], np.diff(np.append(begin, len(order))) > 1, where
+
+
+def _state(name: int, places: np.ndarray, columns: list[np.ndarray]) -> dict:
+    """A block's row in a round: its suffixes' places with the number of each one's pair, and the pairs in order."""
+    distinct, several, where = unique_rows(columns)
+    return {"block": name, "state": ex.pack([places, where]), "records": ex.pack([*distinct, several]), "n": len(several)}
+
+
+_STATE = "block long, state binary, records binary, n long"
+_STATE_SCHEMA = pa.schema([("block", pa.int64()), ("state", pa.binary()), ("records", pa.binary()), ("n", pa.int64())])
+
+
+def grid_words(body: np.ndarray, at: np.ndarray, grid: int) -> list[np.ndarray]:
+    """The `grid` bytes at each place as big-endian numbers, which order like the bytes."""
+    wide = np.zeros((len(at), -(-grid // 8) * 8), np.uint8)
+    wide[:, :grid] = body[at[:, None] + np.arange(grid)]
+    return list(wide.view(">u8").astype(np.uint64).T)
+
+
+def regions(ladder: Ladder):
+    """mapInArrow function: the parts of texts that go on, a row for each block; places have a gap after each region."""
+    names = ["block", "state", "records", "n", "rows", "parts", "open", "body"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, count, grid = TaskContext.get().partitionId(), 0, ladder.grid
+        for block in text.blocks(batches):
+            _, anchor = _anchors(block, ladder.length)
+            parts, open_, body, grids, at = [], [], [], [], 0
+            for r, raw in enumerate(block.texts):
+                spans = ex.span_list(block.columns["spans"][r], 4)
+                spans = spans[spans[:, 3] == 1][:, :2]
+                spans = spans[np.argsort(spans[:, 0])]
+                low, high = np.maximum(0, spans[:, 0] - grid), np.minimum(len(raw), spans[:, 1] + ladder.length + grid)
+                fresh = np.ones(len(spans), bool)
+                fresh[1:] = low[1:] > np.maximum.accumulate(high)[:-1]
+                which = np.cumsum(fresh) - 1
+                begin = low[fresh]
+                end = np.maximum.reduceat(high, np.flatnonzero(fresh))
+                shift = at + np.concatenate([[0], np.cumsum(end - begin + ladder.gap)[:-1]]) - begin
+                for b, e in zip(begin.tolist(), end.tolist(), strict=True):
+                    body += [raw[b:e], bytes(ladder.gap)]
+                parts.append(np.stack([np.full(len(begin), r), begin, begin + shift], 1))
+                phase = (anchor[spans[:, 0] + block.start[r]] - block.start[r] - low) % grid
+                open_.append(np.stack([spans[:, 0] + shift[which], spans[:, 1] + shift[which], low + phase + shift[which]], 1))
+                steps = np.maximum(0, (high - grid - low - phase) // grid + 1)
+                grids.append(text.ranges(np.zeros(len(spans), np.int64), steps) * grid + np.repeat(low + phase + shift[which], steps))
+                at += int((end - begin).sum()) + ladder.gap * len(begin)
+            whole = np.frombuffer(b"".join(body), np.uint8)
+            places = np.unique(np.concatenate(grids))
+            name = (part << 32) | count
+            count += 1
+            row = _state(name, places, grid_words(whole, places, grid))
+            keys = [np.array(block.columns[n], np.int64).view(np.uint64) for n in ("key_id", "key_text")]
+            row |= {"rows": ex.pack([*keys, block.size]), "parts": ex.pack(list(np.concatenate(parts).T)), "open": ex.pack(list(np.concatenate(open_).T)), "body": whole.tobytes()}
+            yield pa.record_batch([pa.array([row[n]], pa.int64() if n in ("block", "n") else pa.binary()) for n in names], names=names)
+
+    return run
+
+
+_REGIONS = _STATE + ", rows binary, parts binary, open binary, body binary"
+
+
+def _as_bytes(columns: list[np.ndarray]) -> np.ndarray:
+    """Rows of numbers as strings of bytes of the same order."""
+    return np.ascontiguousarray(np.stack(columns, 1).astype(">u8")).view(f"S{8 * len(columns)}").ravel()
+
+
+def range_bounds(table: DataFrame, columns: int, lead: int, pairs: int) -> np.ndarray:
+    """Bounds of the first `lead` numbers between ranges of about RANGE_PAIRS pairs, from a sample of SAMPLE pairs for each range. Any bounds give the same classes."""
+    count = max(1, min(MOST_RANGES, -(-pairs // RANGE_PAIRS)))
+    least = min((1 << 64) - 1, SAMPLE * count * (1 << 64) // max(1, pairs))
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros(0, f"S{8 * lead}")]
+            for data in batch.column("records").to_pylist():
+                rows = ex.unpack(data, columns + 1)[:lead]
+                mixed = rows[0]
+                for c in rows[1:]:
+                    mixed = text.mix(mixed) + c
+                found.append(_as_bytes([c[text.mix(mixed) <= np.uint64(least)] for c in rows]))
+            yield pa.record_batch([pa.array([x.ljust(8 * lead, b"\0") for x in np.concatenate(found).tolist()], pa.binary())], names=["pair"])
+
+    if count == 1:
+        return np.zeros(0, f"S{8 * lead}")
+    drawn = np.sort(np.array(table.select("records").mapInArrow(sample, "pair binary").toArrow().column("pair").to_pylist(), f"S{8 * lead}"))
+    return np.unique(drawn[np.arange(1, count) * len(drawn) // count]) if len(drawn) else drawn
+
+
+def deal(bounds: np.ndarray, columns: int, lead: int):
+    """mapInArrow function: each block's pairs, in order, to the ranges they lie in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column("block").to_pylist(), batch.column("records").to_pylist(), strict=True):
+                rows = ex.unpack(data, columns + 1)
+                cut = np.concatenate([[0], np.searchsorted(_as_bytes(rows[:lead]), bounds), [len(rows[0])]])
+                held = np.flatnonzero(np.diff(cut)).tolist()
+                values = [ex.pack([x[cut[k] : cut[k + 1]] for x in rows]) for k in held]
+                yield pa.record_batch([pa.array(held, pa.int32()), pa.array([name] * len(held), pa.int64()), pa.array(values, pa.binary())], schema=ex.PACKED)
+
+    return run
+
+
+def new_ranks(bucket: int, rows: list[np.ndarray], several: np.ndarray) -> np.ndarray:
+    """The rank of each pair of a range: its place in their order, 0 if it occurs once."""
+    _, often, where = unique_rows(rows)
+    often |= np.bincount(where, several, len(often)) > 0
+    ranks = (np.uint64(bucket) << np.uint64(32)) + np.arange(1, len(often) + 1, dtype=np.uint64)
+    return np.where(often, ranks, np.uint64(0))[where]
+
+
+#: What becomes of the starts between two grid points: none repeats, all do, to be compared, all do and one of them stands for it.
+NONE, ALL, OPEN, BOTH = 0, 1, 2, 3
+
+
+def verdicts(core: int):
+    """The same for the last round's rows, of which the first `core` numbers are the core's and the others, if not 0, the cover's."""
+
+    def judge(bucket: int, rows: list[np.ndarray], several: np.ndarray) -> np.ndarray:
+        _, often, group = unique_rows(rows[:core])
+        distinct, alike_often, alike = unique_rows(rows)
+        repeated = (often | (np.bincount(group, several, len(often)) > 0))[group]
+        known = np.all([c > 0 for c in distinct[core:]], axis=0)
+        past = (known & (alike_often | (np.bincount(alike, several, len(known)) > 0)))[alike]
+        left = repeated & ~past
+        stands = np.zeros(len(alike), bool)
+        stands[np.unique(alike, return_index=True)[1]] = True
+        stands &= past & (np.bincount(group, left, len(often)) > 0)[group]
+        return (past * ALL + left * OPEN + stands * (BOTH - ALL)).astype(np.uint64)
+
+    return judge
+
+
+def rank_range(columns: int, rank: Callable):
+    """applyInArrow function for a range: sorts its pairs and answers each block with their ranks."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        parts = [ex.unpack(x, columns + 1) for x in table.column("data").to_pylist()]
+        cut = np.cumsum([0] + [len(p[0]) for p in parts])
+        *rows, several = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        given = rank(key[0].as_py(), rows, several)
+        values = [ex.pack([given[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        del parts, rows, given
+        text.release()
+        return pa.table([pa.array([key[0].as_py()] * len(values), pa.int32()), table.column("block"), pa.array(values, pa.binary())], schema=pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary())]))
+
+    return run
+
+
+def answered(state: pa.Table, back: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a block whose suffix shares its rank, ascending, and the ranks."""
+    places, where = (x.astype(np.int64) for x in ex.unpack(state.column("state")[0].as_py(), 2))
+    order = np.argsort(back.column("bucket").to_numpy())
+    data = back.column("data").to_pylist()
+    ranks = np.concatenate([np.zeros(0, np.uint64), *(ex.unpack(data[k], 1)[0] for k in order)])[where]
+    return places[ranks > 0], ranks[ranks > 0]
+
+
+def ranks_at(places: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The ranks of the suffixes at other places, 0 where there is none."""
+    k = np.minimum(np.searchsorted(places, at), len(places) - 1)
+    return np.where(places[k] == at, ranks[k], np.uint64(0)) if len(places) else np.zeros(len(at), np.uint64)
+
+
+def pairs_of(places: np.ndarray, ranks: np.ndarray, offsets: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Places whose suffixes have a shared rank at all offsets, and these ranks."""
+    found = [ranks_at(places, ranks, places + k) for k in offsets]
+    whole = np.all([x > 0 for x in found], axis=0) if len(places) else np.zeros(0, bool)
+    return places[whole], [x[whole] for x in found]
+
+
+def next_round(offset: int):
+    """cogroup function of a block's state and ranks: the next round's state, pairs at `offset`."""
+
+    def run(key: tuple, state: pa.Table, back: pa.Table) -> pa.Table:
+        if not state.num_rows or not back.num_rows:
+            return _STATE_SCHEMA.empty_table()
+        places, columns = pairs_of(*answered(state, back), [0, offset])
+        rows = [_state(key[0].as_py(), places, columns)] if len(places) else []
+        return pa.Table.from_pylist(rows, _STATE_SCHEMA)
+
+    return run
+
+
+def cells(ladder: Ladder):
+    """cogroup function: the last round, at each grid point with a shared core the core's ranks and those of the cover that begins a step before it."""
+    core, cover = ladder.offsets(ladder.core), [k - ladder.grid for k in ladder.offsets(ladder.cover)]
+
+    def run(key: tuple, state: pa.Table, back: pa.Table) -> pa.Table:
+        if not state.num_rows or not back.num_rows:
+            return _STATE_SCHEMA.empty_table()
+        places, ranks = answered(state, back)
+        at, columns = pairs_of(places, ranks, core)
+        wide = [ranks_at(places, ranks, at + k) for k in cover]
+        whole = np.all([x > 0 for x in wide], axis=0)
+        columns += [np.where(whole, x, np.uint64(0)) for x in wide]
+        return pa.Table.from_pylist([_state(key[0].as_py(), at, columns)] if len(at) else [], _STATE_SCHEMA)
+
+    return run
+
+
+_LEFT = pa.schema([("block", pa.int64()), ("key_id", pa.int64()), ("key_text", pa.int64()), ("spans", pa.binary()), ("listed", pa.binary()), ("records", pa.binary())])
+
+
+def _text_places(at: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place in the row's text of places in a block's regions."""
+    k = np.searchsorted(parts[:, 2], at, "right") - 1
+    return parts[k, 0], at - parts[k, 2] + parts[k, 1]
+
+
+def resolve(ladder: Ladder):
+    """cogroup function of a block's regions with the last ranks (joined to their state): spans of strings that repeat, and records of the starts that are left."""
+
+    def run(key: tuple, table: pa.Table, back: pa.Table) -> pa.Table:
+        held = [r for r in table.to_pylist() if r["body"] is not None]
+        last = table.filter(pc.is_null(table.column("body")))
+        if not held or not last.num_rows or not back.num_rows:
+            return _LEFT.empty_table()
+        own, grid, length = held[0], ladder.grid, ladder.length
+        cell, verdict = answered(last, back)
+        open_ = np.stack([x.astype(np.int64) for x in ex.unpack(own["open"], 3)], 1)
+        parts = np.stack([x.astype(np.int64) for x in ex.unpack(own["parts"], 3)], 1)
+        many = open_[:, 1] - open_[:, 0] + 1
+        starts = text.ranges(open_[:, 0], many)
+        after = starts + (np.repeat(open_[:, 2], many) - starts) % grid  # the stretch's first grid point that is not before the start
+        said = ranks_at(cell, verdict, after)
+        done, left = np.unique(starts[(said == ALL) | (said == BOTH)]), np.unique(starts[(said == OPEN) | (said == BOTH)])
+        ids, texts, size = (x.view(np.int64) for x in ex.unpack(own["rows"], 3))
+        out = []
+        if len(done):
+            row, place = _text_places(done, parts)
+            base = np.concatenate([np.zeros(1, np.int64), np.cumsum(size + 1)])
+            owner, spans = ex.covering(length)(base[row] + place, base)
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]])
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                out.append({"block": None, "key_id": int(ids[owner[a]]), "key_text": int(texts[owner[a]]), "spans": spans[a:b].tobytes(), "listed": None, "records": None})
+        if len(left):
+            row, place = _text_places(left, parts)
+            base = np.concatenate([np.zeros(1, np.int64), np.cumsum(size + 1)])
+            exact = text.digests(own["body"], left, left + length)
+            listed = ex.pack([ids.view(np.uint64), texts.view(np.uint64), base[:-1]])
+            out.append({"block": key[0].as_py(), "key_id": None, "key_text": None, "spans": None, "listed": listed, "records": ex.pack([exact[:, 0], exact[:, 1], base[row] + place])})
+        return pa.Table.from_pylist(out, _LEFT)
+
+    return run
+
+
+def ranked(table: DataFrame, columns: int, lead: int = 0, rank: Callable = new_ranks) -> DataFrame:
+    """bucket, block, data: what `rank` says of a round's pairs (block, records, n), dealt out by their first `lead` numbers, or all."""
+    pairs, lead = table.agg(F.sum("n")).first()[0] or 0, lead or columns
+    dealt = table.select("block", "records").mapInArrow(deal(range_bounds(table, columns, lead, pairs), columns, lead), "bucket int, block long, data binary")
+    return dealt.groupBy("bucket").applyInArrow(rank_range(columns, rank), "bucket int, block long, data binary")
+
+
+def doubled(first: DataFrame, ladder: Ladder, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The last state (cores and covers) of the regions' suffixes, and the verdicts on its rows."""
+    held, columns, width, name = first, -(-ladder.grid // 8), ladder.grid, ""
+    while True:
+        back = ranked(held, columns)
+        step: Callable = next_round(width) if width < ladder.top else cells(ladder)
+        new = held.select("block", "state").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(step, _STATE)
+        new = scratch.keep(new, f"round{width}")
+        if name:
+            scratch.drop(name)
+        held, columns, name = new, 2, f"round{width}"
+        if width == ladder.top:
+            core = len(ladder.offsets(ladder.core))
+            return held, ranked(held, core + len(ladder.offsets(ladder.cover)), core, verdicts(core))
+        width *= 2
+
+
+# -- step 3: starts ----------------------------------------------------------------------------------------------------
+
+
+def _send_starts(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, listed, data in zip(*(batch.column(c).to_pylist() for c in ("block", "listed", "records")), strict=True):
+                yield ex.parcel(name, ex.unpack(data, 3), listed, bits)
+
+    return run
 
 
 def pick_repeated(fields: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Records whose rank occurs again; the last fields are whether one stands for several, and the place."""
+    """Records that occur again; the last fields are whether one stands for several, and the place."""
     order, fresh = ex.classes(fields[0], fields[1:-2])
     alike = np.cumsum(fresh) - 1
     flags = np.zeros(len(order), bool)
@@ -154,11 +461,6 @@ def pick_repeated(fields: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return flags, fields[-1]
 
 
-def _open_spans(data: bytes) -> np.ndarray:
-    spans = ex.span_list(data, 4)
-    return spans[spans[:, 3] == 1][:, :2] + np.array([0, 1])
-
-
 def remove_spans(length: int, digest: bool):
     """mapInArrow function that leaves out the bytes of repeated strings."""
 
@@ -185,19 +487,24 @@ def remove_spans(length: int, digest: bool):
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, digest: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary) for every row of `docs`; `length` is a multiple of 4 up to 680.
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary) for every row of `docs`; `length` is a multiple of 4 from 24 to 680.
 
     With `digest`, kept_sha256 (lowercase hex) stands in place of kept.
     """
-    spark, gram = docs.sparkSession, length // 4
-    rows, scratch = ex.keyed(docs), Scratch(spark, "suffix")
-    size = input_bytes(docs)
-    bits = ex.bucket_bits(size, 7)
-    held = scratch.keep(ex.exchange(rows, stretches(length, gram), max(6, bits - 2), 5, pick_stretches, stretch_spans, _FLAGS + 1), "stretches")
-    open_ = ex.with_spans(rows, held, scratch.bytes("stretches"))
-    left = scratch.keep(ex.exchange(open_, doubled(gram, 1, _open_spans, False), bits, 3, pick_repeated, ex.covering(1)), "left")
-    again = ex.with_spans(rows, left, scratch.bytes("left"))
-    found = scratch.keep(ex.exchange(again, doubled(gram, 2, ex.span_list, True), bits, 4, pick_repeated, ex.covering(length)), "found")
-    full = ex.with_spans(rows, found, scratch.bytes("found"))
-    full = full.join(small_enough(held.withColumnRenamed("spans", "stretches"), scratch.bytes("stretches")), ["key_id", "key_text"], "left")
+    rows, scratch, ladder = ex.keyed(docs), Scratch(docs.sparkSession, "suffix"), Ladder(length)
+    bits = ex.bucket_bits(input_bytes(docs), 7)
+    held = scratch.keep(ex.exchange(rows, ex.sender(stretches(length), bits - 1), 6, pick_stretches, stretch_spans, _FLAGS + 1), "stretches")
+    size = scratch.bytes("stretches")
+    onward = held.mapInArrow(_only_open, held.schema)
+    found = rows.join(small_enough(onward, size), ["key_id", "key_text"])
+    first = scratch.keep(found.mapInArrow(regions(ladder), _REGIONS), "regions")
+    last, back = doubled(first, ladder, scratch)
+    own = first.select("block", "rows", "parts", "open", "body").unionByName(last.select("block", "state"), allowMissingColumns=True)
+    left = own.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(resolve(ladder), "block long, key_id long, key_text long, spans binary, listed binary, records binary")
+    left = scratch.keep(left, "left")
+    starts = left.where("records IS NOT NULL").select("block", "listed", "records")
+    one = ex.exchange(starts, _send_starts(max(6, bits - 2)), 4, pick_repeated, ex.covering(length))
+    spans = scratch.keep(ex.merged(one.unionByName(left.where("spans IS NOT NULL").select("key_id", "key_text", "spans"))), "found")
+    full = ex.with_spans(rows, spans, scratch.bytes("found"))
+    full = full.join(small_enough(held.withColumnRenamed("spans", "stretches"), size), ["key_id", "key_text"], "left")
     return full.mapInArrow(remove_spans(length, digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {'kept_sha256 string' if digest else 'kept binary'}")

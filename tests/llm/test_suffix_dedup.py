@@ -5,6 +5,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from kvframe.llm import queries, suffix_dedup
 
@@ -28,12 +30,11 @@ def digest(df):
     return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in df.collect()), key=str)
 
 
-def test_against_brute_force(spark):
-    rng = random.Random(8)
-    piece = lambda n: "".join(rng.choice("abcdefé \n") for _ in range(n))
-    base = [piece(rng.choice([39, 40, 41, 80, 150, 400])) for _ in range(10)]
-    rows = [(0, None), (1, ""), (2, "a" * 39), (3, "a" * 200), (4, "ab" * 60), (None, "ab" * 25), (5, "x")]
-    for d in range(6, 70):
+def make_rows(rng, letters, length, docs):
+    piece = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    base = [piece(rng.choice([length - 1, length, length + 1, 2 * length, 150, 10 * length])) for _ in range(10)]
+    rows = []
+    for d in range(6, docs):
         parts = []
         for _ in range(rng.randint(1, 4)):
             p = list(rng.choice(base))
@@ -41,10 +42,17 @@ def test_against_brute_force(spark):
                 p[rng.randrange(len(p))] = rng.choice("xyz")
             parts += [piece(rng.randint(0, 60)), "".join(p)]
         rows.append((d, "".join(parts)))
-    rows += [rows[20], (70, rows[21][1])]
-    rng.shuffle(rows)
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert digest(suffix_dedup.suffix_dedup(df, 40)) == brute(rows, 40)
+    return rows
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(8)
+    for length in (24, 40, 100):
+        rows = [(0, None), (1, ""), (2, "a" * 39), (3, "a" * 200), (4, "ab" * 60), (None, "ab" * 25), (5, "x"), *make_rows(rng, "abcdefé \n", length, 70)]
+        rows += [rows[20], (70, rows[21][1])]
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        assert digest(suffix_dedup.suffix_dedup(df, length)) == brute(rows, length)
 
 
 def test_edges(spark):
@@ -56,3 +64,62 @@ def test_query_on_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in queries.documents(spark, sf).collect()]
     assert sorted(map(tuple, queries.op6_suffix_array_dedup(spark, sf).collect()), key=str) == brute(rows, 400)
+
+
+def doubled_ranks(spark, texts, length):
+    """For each round the bytes and ranks of the suffixes that share their first bytes, from all texts as one open stretch each."""
+    ladder = suffix_dedup.Ladder(length)
+    spans = lambda n: np.array([0, n - length, 0, 1], np.int32).tobytes()
+    rows = [(k, k, t, bytearray(spans(len(t)))) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "key_id long, key_text long, text string, spans binary").repartition(3)
+    held = suffix_dedup.Scratch(spark, "test").keep(df.mapInArrow(suffix_dedup.regions(ladder), suffix_dedup._REGIONS), "regions")
+    columns, width = -(-ladder.grid // 8), ladder.grid
+    bodies = {r.block: bytes(r.body) for r in held.collect()}
+    while width <= ladder.top:
+        back = suffix_dedup.ranked(held, columns).toArrow()
+        found = []
+        for r in held.toArrow().to_pylist():
+            own = back.filter(pc.equal(back.column("block"), r["block"]))
+            places, ranks = suffix_dedup.answered(pa.Table.from_pylist([r]), own)
+            found += [(bodies[r["block"]][a : a + width], int(k)) for a, k in zip(places.tolist(), ranks.tolist(), strict=True)]
+        yield width, found
+        held = held.select("block", "state").groupBy("block").cogroup(suffix_dedup.ranked(held, columns).groupBy("block")).applyInArrow(suffix_dedup.next_round(width), suffix_dedup._STATE)
+        columns, width = 2, 2 * width
+
+
+def test_ranks_order_suffixes(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "RANGE_PAIRS", 20)
+    rng = random.Random(6)
+    base = "".join(rng.choice("ab") for _ in range(300))
+    texts = [base, "xyz" + base[:200], base[37:290], "ab" * 90, base[5:130] + "q" + base[131:]]
+    rounds = dict(doubled_ranks(spark, texts, 48))
+    assert sorted(rounds) == [4, 8, 16, 32]
+    for found in rounds.values():
+        assert len(found) > 20
+        order = sorted(set(found))
+        assert [k for _, k in order] == sorted({k for _, k in found})  # a rank for each string, in their order
+        assert min(Counter(x for x, _ in found).values()) > 1  # what occurs once has dropped out
+
+
+def test_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "RANGE_PAIRS", 50)
+    rng = random.Random(9)
+    rows = make_rows(rng, "abc", 60, 90)
+    assert digest(suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 60)) == brute(rows, 60)
+
+
+def test_strings_that_polynomial_hashes_confuse(spark):
+    from test_quality_rules import thue_morse
+
+    a, b = thue_morse(4096)
+    rows = [(1, "p" * 300 + a + "q" * 300), (2, "r" * 300 + b + "s" * 300), (3, a[:700])]
+    for length in (400, 680):
+        assert digest(suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), length)) == brute(rows, length)
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_500_000))
+    rows = [(1, long[:500]), (2, long + long[:5000] + "\0" * 3000)]
+    df = spark.createDataFrame([(*r, 1, b"x", "y") for r in rows], "doc_id long, text string, n_bytes int, spans binary, state string")
+    assert digest(suffix_dedup.suffix_dedup(df)) == brute(rows, 400)
