@@ -13,7 +13,7 @@ fingerprint zero and are linked like any other; a null doc_id is never the small
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -161,13 +161,33 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, chunk: int = CHUNK) ->
     return grouped(docs, Scratch(docs.sparkSession, "simhash"), size, chunk).select("doc_id", "fp", "component_id")
 
 
+def proposals(scratch: Scratch) -> Callable[[DataFrame], DataFrame]:
+    """Pairs of nodes (node, fp) by fingerprint: the least node of each with the others, and the least nodes of linked ones."""
+
+    def run(nodes: DataFrame) -> DataFrame:
+        heads = scratch.keep(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads-fp")
+        size = scratch.bytes("heads-fp")
+        alike = nodes.join(small_enough(heads, size), "fp").where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+        near = scratch.keep(links(heads.select("fp"), scratch), "near")
+        for side in "ab":
+            near = near.join(small_enough(heads.select(F.col("fp").alias(side), F.col("head").alias(f"head_{side}")), size), side)
+        near = near.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b"))
+        return alike.unionByName(near).distinct()
+
+    return run
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of `docs` for each component of texts of 5-word Jaccard similarity 0.8 or more: that of the smallest doc_id.
 
-    The columns stay. A null doc_id counts as the largest; among rows of equal doc_id the least hash of the text decides.
+    Pigeonring filtering of the texts' fingerprints (of five-word shingles) proposes links, which the similarity itself
+    verifies. Two texts of similarity 0.8 may differ in any number of fingerprint bits, so jaccard then finds the links
+    that are left, exactly. The columns stay. A null doc_id counts as the largest; among rows of equal doc_id the
+    least hash of the text decides.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
-    rows = jaccard.grouped(docs, scratch).groupBy("root", "key_id", "key_text").agg(F.count("*").alias("n"))
+    own = lambda t: fingerprint(t.lower().split(), jaccard.SHINGLE)
+    rows = jaccard.grouped(docs, scratch, fingerprint=own, proposed=proposals(scratch)).groupBy("root", "key_id", "key_text").agg(F.count("*").alias("n"))
     heads = rows.groupBy("root").agg(F.min(F.struct("key_id", "key_text", "n")).alias("h"))
     heads = scratch.keep(heads.select(F.col("h.key_id").alias("__id"), F.col("h.key_text").alias("__text"), F.col("h.n").alias("__n")), "heads")
     same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__text"))

@@ -43,7 +43,7 @@ def texts(seed=5):
 
 @pytest.mark.parametrize("chunk", [1024, 5])
 def test_all_pairs(spark, chunk, monkeypatch):
-    monkeypatch.setattr(jaccard.grouped, "__defaults__", (chunk,))
+    monkeypatch.setattr(jaccard.grouped, "__defaults__", (chunk, None, None))
     rows = list(enumerate(texts()))
     got = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     want = brute(rows)

@@ -7,9 +7,8 @@ from collections import Counter
 import corpus_pipeline as pipeline
 import public_tokenizers as P
 from test_byte_bpe import library
+from test_jaccard import brute as alike
 from test_mixing import brute as copies
-from test_simhash import brute as components
-from test_simhash import print_of
 
 from kvframe.llm import queries, quality_classifier, simhash, substring_dedup
 
@@ -42,8 +41,8 @@ def test_stages(spark, tmp_path):
     start, good, single, cut, mixed, last = held
     verdict = {r.doc_id: r.kept for r in quality_classifier.quality_classifier(queries.documents(spark, sf)).collect()}
     assert sorted(good) == sorted(r for r in start if verdict[r.doc_id]) and 0 < len(good) < len(start)
-    parts = {d: c for d, _, c in components([(r.doc_id, print_of(r.text)) for r in good])}
-    assert sorted(single) == sorted(r for r in good if parts[r.doc_id] == r.doc_id)
+    heads = set(alike([(r.doc_id, r.text) for r in good]))  # stages take five words and a similarity of 0.8
+    assert sorted(single) == sorted(r for r in good if r.doc_id in heads)
     texts = without_repeats([(r.doc_id, r.text) for r in single])
     assert sorted((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in cut) == sorted((r.doc_id, texts[r.doc_id], r.lang, r.source, len(texts[r.doc_id])) for r in single)
     n = Counter(r.source for r in cut)
@@ -54,6 +53,8 @@ def test_stages(spark, tmp_path):
     lib = library()
     assert Counter((r.doc_id, r.n_tokens, tuple(r.ids), r.decoded) for r in last) == Counter((r.doc_id, len(ids := lib.encode_ordinary(r.text)), tuple(ids), r.text) for r in mixed)
     assert P.PATTERN
+    whole = pipeline.run(spark, sf).collect()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in whole) == Counter((r.doc_id, tuple(r.ids)) for r in last)
 
 
 def test_repeated_and_null_rows(spark):
