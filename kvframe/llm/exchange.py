@@ -25,6 +25,8 @@ PACKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.b
 PICKED = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
 SPANS = pa.schema([("key_id", pa.int64()), ("key_text", pa.int64()), ("spans", pa.binary())])
 NO_ID = (1 << 63) - 1
+#: log2 of a number of buckets at which a block's records for each are still some tens.
+MANY = 13
 #: Keys for rows that go straight to their block's answer.
 HOMES = 1 << 20
 #: What a row for a block holds: its directory, the other places of its records, picked answers.
@@ -42,8 +44,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def bucket_bits(input_bytes: int, least: int = 6) -> int:
-    """log2 of the number of buckets."""
-    return int(min(28, max(least, np.ceil(np.log2(max(1, input_bytes / BUCKET_INPUT_BYTES))))))
+    """log2 of the number of buckets: of BUCKET_INPUT_BYTES each up to MANY buckets, beyond that of up to 16 times as many, so that what a block sends to a bucket is worth a row."""
+    small, large = (int(np.ceil(np.log2(max(1, input_bytes / size)))) for size in (BUCKET_INPUT_BYTES, 16 * BUCKET_INPUT_BYTES))
+    return min(28, max(least, min(small, max(MANY, large))))
 
 
 def pack(fields: list[np.ndarray]) -> bytes:

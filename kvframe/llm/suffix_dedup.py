@@ -40,8 +40,8 @@ LENGTH = 400
 PLACE_BITS = 24
 SEGMENT = 1 << 22
 _FLAGS = 10  # a stretch has fewer starts than 2**9, and one bit says whether it is open
-#: Pairs for each range of a round, ranges at most, and sampled pairs for each range, from which the bounds come.
-RANGE_PAIRS, MOST_RANGES, SAMPLE = 1 << 16, 1 << 16, 16
+#: Pairs for each range of a round; at most, where a block has few pairs for so many ranges; sampled pairs for each range, from which the bounds come; ranges at most.
+RANGE_PAIRS, MOST_PAIRS, SAMPLE, MOST_RANGES = 1 << 15, 1 << 22, 16, 1 << 17
 
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -123,19 +123,38 @@ def pick_stretches(fields: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stretch_spans(answers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """first start, last start, whether the text occurs again, whether it goes on."""
+    """first start, last start, whether they go on: runs of starts whose strings repeat, and the stretches that go on."""
     place = answers >> (_FLAGS + 1)
-    row = ex.owners(place, first)
-    start = place - first[row]
-    return row, np.stack([start, start + (answers >> 2 & (1 << (_FLAGS - 1)) - 1), answers >> 1 & 1, answers & 1], 1).astype(np.int32)
+    last = place + (answers >> 2 & (1 << (_FLAGS - 1)) - 1)
+    row, past, onward = ex.owners(place, first), (answers & 2) > 0, (answers & 1) > 0
+    fresh = np.ones(int(past.sum()), bool)
+    fresh[1:] = (row[past][1:] != row[past][:-1]) | (place[past][1:] > last[past][:-1] + 1)
+    begin = np.flatnonzero(fresh)
+    end = np.append(begin[1:], len(fresh))[: len(begin)] - 1
+    owner = np.concatenate([row[past][begin], row[onward]])
+    spans = np.stack([np.concatenate([place[past][begin], place[onward]]), np.concatenate([last[past][end], last[onward]]), np.repeat([0, 1], [len(begin), int(onward.sum())])], 1)
+    spans[:, :2] -= first[owner][:, None]
+    order = np.argsort(owner, kind="stable")
+    return owner[order], spans[order].astype(np.int32)
 
 
-# -- step 2: doubling --------------------------------------------------------------------------------------------------
+def divided(length: int, onward: bool):
+    """mapInArrow function on stretches by key: the starts of those that go on, or the spans (start, end) of those that repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for data in batch.column("spans").to_pylist():
+                spans = ex.span_list(data, 3)
+                spans = spans[spans[:, 2] == onward][:, :2]
+                out.append((spans + np.array([0, 0 if onward else length])).astype(np.int32).tobytes())
+            kept = pa.array([bool(x) for x in out], pa.bool_())
+            yield pa.record_batch([batch.column("key_id"), batch.column("key_text"), pa.array(out, pa.binary())], names=["key_id", "key_text", "spans"]).filter(kept)
+
+    return run
 
 
-def _only_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield batch.filter(pa.array([bool(ex.span_list(x, 4)[:, 3].any()) for x in batch.column("spans").to_pylist()], pa.bool_()))
+# -- step 2: doubling --------------------------------------------------------------------------------------------------
 
 
 class Ladder:
@@ -197,8 +216,7 @@ def regions(ladder: Ladder):
             _, anchor = _anchors(block, ladder.length)
             parts, open_, body, grids, at = [], [], [], [], 0
             for r, raw in enumerate(block.texts):
-                spans = ex.span_list(block.columns["spans"][r], 4)
-                spans = spans[spans[:, 3] == 1][:, :2]
+                spans = ex.span_list(block.columns["spans"][r])
                 spans = spans[np.argsort(spans[:, 0])]
                 low, high = np.maximum(0, spans[:, 0] - grid), np.minimum(len(raw), spans[:, 1] + ladder.length + grid)
                 fresh = np.ones(len(spans), bool)
@@ -235,9 +253,11 @@ def _as_bytes(columns: list[np.ndarray]) -> np.ndarray:
     return np.ascontiguousarray(np.stack(columns, 1).astype(">u8")).view(f"S{8 * len(columns)}").ravel()
 
 
-def range_bounds(table: DataFrame, columns: int, lead: int, pairs: int) -> np.ndarray:
+def range_bounds(table: DataFrame, columns: int, lead: int) -> np.ndarray:
     """Bounds of the first `lead` numbers between ranges of about RANGE_PAIRS pairs, from a sample of SAMPLE pairs for each range. Any bounds give the same classes."""
-    count = max(1, min(MOST_RANGES, -(-pairs // RANGE_PAIRS)))
+    pairs, blocks = (int(x or 0) for x in table.agg(F.sum("n"), F.count("*")).first())
+    fits = max(64, pairs // max(1, 4 * blocks))  # so many ranges get some pairs of a block
+    count = max(1, min(MOST_RANGES, max(min(-(-pairs // RANGE_PAIRS), fits), -(-pairs // MOST_PAIRS))))
     least = min((1 << 64) - 1, SAMPLE * count * (1 << 64) // max(1, pairs))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,8 +438,8 @@ def resolve(ladder: Ladder):
 
 def ranked(table: DataFrame, columns: int, lead: int = 0, rank: Callable = new_ranks) -> DataFrame:
     """bucket, block, data: what `rank` says of a round's pairs (block, records, n), dealt out by their first `lead` numbers, or all."""
-    pairs, lead = table.agg(F.sum("n")).first()[0] or 0, lead or columns
-    dealt = table.select("block", "records").mapInArrow(deal(range_bounds(table, columns, lead, pairs), columns, lead), "bucket int, block long, data binary")
+    lead = lead or columns
+    dealt = table.select("block", "records").mapInArrow(deal(range_bounds(table, columns, lead), columns, lead), "bucket int, block long, data binary")
     return dealt.groupBy("bucket").applyInArrow(rank_range(columns, rank), "bucket int, block long, data binary")
 
 
@@ -461,20 +481,19 @@ def pick_repeated(fields: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return flags, fields[-1]
 
 
-def remove_spans(length: int, digest: bool):
+def remove_spans(digest: bool):
     """mapInArrow function that leaves out the bytes of repeated strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text.blocks(batches):
             gone, count, kept = [], [], []
             for r, raw in enumerate(block.texts):
-                past = ex.span_list(block.columns["stretches"][r], 4)
-                past, found = past[past[:, 2] == 1], ex.span_list(block.columns["spans"][r])
-                if not len(past) and not len(found):
+                found = ex.span_list(block.columns["spans"][r])
+                if not len(found):
                     begin = np.zeros(0, np.int64)
                     cover, rest = begin, raw
                 else:
-                    cover = text.covered(len(raw), np.concatenate([past[:, 0], found[:, 0]]), np.concatenate([past[:, 1] + length, found[:, 1]]))
+                    cover = text.covered(len(raw), found[:, 0], found[:, 1])
                     begin = text.runs(cover)[0]
                     rest = np.frombuffer(raw, np.uint8)[~cover].tobytes()
                 gone.append(int(cover.sum()))
@@ -494,17 +513,17 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, digest: bool = False) ->
     rows, scratch, ladder = ex.keyed(docs), Scratch(docs.sparkSession, "suffix"), Ladder(length)
     bits = ex.bucket_bits(input_bytes(docs), 7)
     held = scratch.keep(ex.exchange(rows, ex.sender(stretches(length), bits - 1), 6, pick_stretches, stretch_spans, _FLAGS + 1), "stretches")
-    size = scratch.bytes("stretches")
-    onward = held.mapInArrow(_only_open, held.schema)
-    found = rows.join(small_enough(onward, size), ["key_id", "key_text"])
+    kinds = "key_id long, key_text long, spans binary"
+    onward = scratch.keep(held.mapInArrow(divided(length, True), kinds), "onward")
+    found = rows.join(small_enough(onward, scratch.bytes("onward")), ["key_id", "key_text"])
     first = scratch.keep(found.mapInArrow(regions(ladder), _REGIONS), "regions")
     last, back = doubled(first, ladder, scratch)
     own = first.select("block", "rows", "parts", "open", "body").unionByName(last.select("block", "state"), allowMissingColumns=True)
     left = own.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(resolve(ladder), "block long, key_id long, key_text long, spans binary, listed binary, records binary")
     left = scratch.keep(left, "left")
     starts = left.where("records IS NOT NULL").select("block", "listed", "records")
-    one = ex.exchange(starts, _send_starts(max(6, bits - 2)), 4, pick_repeated, ex.covering(length))
-    spans = scratch.keep(ex.merged(one.unionByName(left.where("spans IS NOT NULL").select("key_id", "key_text", "spans"))), "found")
+    compared = ex.exchange(starts, _send_starts(max(6, bits - 2)), 4, pick_repeated, ex.covering(length))
+    settled = left.where("spans IS NOT NULL").select("key_id", "key_text", "spans").unionByName(held.mapInArrow(divided(length, False), kinds))
+    spans = scratch.keep(ex.merged(compared.unionByName(settled)), "found")
     full = ex.with_spans(rows, spans, scratch.bytes("found"))
-    full = full.join(small_enough(held.withColumnRenamed("spans", "stretches"), size), ["key_id", "key_text"], "left")
-    return full.mapInArrow(remove_spans(length, digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {'kept_sha256 string' if digest else 'kept binary'}")
+    return full.mapInArrow(remove_spans(digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {'kept_sha256 string' if digest else 'kept binary'}")

@@ -69,7 +69,7 @@ def test_query_on_table(spark):
 def doubled_ranks(spark, texts, length):
     """For each round the bytes and ranks of the suffixes that share their first bytes, from all texts as one open stretch each."""
     ladder = suffix_dedup.Ladder(length)
-    spans = lambda n: np.array([0, n - length, 0, 1], np.int32).tobytes()
+    spans = lambda n: np.array([0, n - length], np.int32).tobytes()
     rows = [(k, k, t, bytearray(spans(len(t)))) for k, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "key_id long, key_text long, text string, spans binary").repartition(3)
     held = suffix_dedup.Scratch(spark, "test").keep(df.mapInArrow(suffix_dedup.regions(ladder), suffix_dedup._REGIONS), "regions")
