@@ -8,8 +8,8 @@ offsets and lengths; the bytes follow at the end by pointer doubling.
 A null or broken file has no frames, and `error` says why; a stream that ends early leaves its other pixels at
 index 0. Extra columns are ignored, repeated rows give repeated rows.
 
-`text_to_gif` stores any bytes as frames of SIDE x SIDE samples on a grey palette. Its code streams clear the table
-before codes grow past nine bits, so all frames have one layout and are written at once.
+`text_to_gif` stores any bytes as frames of SIDE x SIDE samples on a grey palette, compressed with a table of strings for
+each frame. A very long text is a file of many frames; memory goes with the longest text, some 20 bytes for each of its own.
 """
 
 from __future__ import annotations
@@ -31,10 +31,10 @@ from .shared import bounded_batches
 SIDE = 24
 FRAME = SIDE * SIDE
 DELAY_CS = 10
-#: Literal codes between two clear codes; below 255 the code size stays nine bits.
-RUN = 250
-#: Frames decoded in step.
-TOGETHER = 2048
+#: Frames decoded and coded in step.
+TOGETHER, CODED = 2048, 256
+#: Pixels of a canvas and of all frames of a file at most; a file that asks for more has no frames, and `error` says so.
+MOST_PIXELS = 1 << 26
 #: Levels of each channel in a colour histogram.
 LEVELS = 4
 _INTERLACE = ((0, 8), (4, 8), (2, 4), (1, 2))
@@ -79,8 +79,8 @@ def _chain(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
-def parse(data: bytes) -> tuple[int, int, list[Image]]:
-    """Canvas width and height and the image blocks of a file; raises ValueError if it isn't one."""
+def parse(data: bytes, limit: int = MOST_PIXELS) -> tuple[int, int, list[Image]]:
+    """Canvas width and height and the image blocks of a file; raises ValueError if it isn't one, or if images and canvases have over `limit` pixels."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("no GIF header")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
@@ -90,6 +90,7 @@ def parse(data: bytes) -> tuple[int, int, list[Image]]:
             size = 2 << (flags & 7)
             shared = np.frombuffer(data, np.uint8, 3 * size, at).reshape(size, 3)
             at += 3 * size
+        pixels = 0
         while data[at] != 0x3B:
             if data[at] == 0x21:
                 body, end = _chain(data, at + 2)
@@ -100,6 +101,9 @@ def parse(data: bytes) -> tuple[int, int, list[Image]]:
             elif data[at] == 0x2C:
                 left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
                 at, palette = at + 10, shared
+                pixels += w * h + width * height
+                if pixels > limit:
+                    raise ValueError("too many pixels")
                 if flags & 0x80:
                     size = 2 << (flags & 7)
                     palette = np.frombuffer(data, np.uint8, 3 * size, at).reshape(size, 3)
@@ -218,12 +222,12 @@ def draw(width: int, height: int, images: list[Image]) -> Movie:
     return Movie(width, height, np.array(frames, np.uint8).reshape(*shape, 3), np.array(masks, bool).reshape(shape), [i.delay for i in images])
 
 
-def decode(files: list[bytes | None]) -> list[Movie | str]:
+def decode(files: list[bytes | None], limit: int = MOST_PIXELS) -> list[Movie | str]:
     """What each file shows, or why it can't be read."""
     out: list = []
     for data in files:
         try:
-            out.append(parse(data) if data is not None else "null")
+            out.append(parse(data, limit) if data is not None else "null")
         except ValueError as why:
             out.append(str(why))
     images = [(n, i) for n, x in enumerate(out) if not isinstance(x, str) for i in x[2]]
@@ -274,40 +278,55 @@ def gif_frames(files: DataFrame, key: str = "doc_id", column: str = "media") ->
     return rows.mapInArrow(run, "key long, frame long, at_cs long, delay_cs long, width long, height long, pixels binary, histogram array<long>, error string").withColumnRenamed("key", key)
 
 
-def _layout() -> tuple[bytes, np.ndarray, bytes]:
-    """File header, the codes of a frame (literal n of the frame is -1 - n) and a frame's bytes before its stream."""
-    grey = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
-    head = b"GIF89a" + struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0) + grey
-    codes = []
-    for at in range(0, FRAME, RUN):
-        codes += [256, *(-1 - n for n in range(at, min(FRAME, at + RUN)))]
-    lead = b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, DELAY_CS, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08"
-    return head, np.array([*codes, 257], np.int64), lead
-
-
-_HEAD, _CODES, _LEAD = _layout()
-
-
-def _streams(payload: np.ndarray) -> np.ndarray:
-    """Frames of samples, n x FRAME, as rows of the bytes of their image blocks."""
-    n, literal = len(payload), _CODES < 0
-    codes = np.empty((n, len(_CODES)), np.uint16)
-    codes[:, ~literal] = _CODES[~literal]
-    codes[:, literal] = payload
-    pad = -len(_CODES) % 8
-    codes = np.pad(codes, ((0, 0), (0, pad))).reshape(n, -1, 8).astype(np.uint64)
-    packed = np.zeros((n, codes.shape[1], 9), np.uint8)  # eight codes of nine bits are nine bytes
-    low = np.zeros(codes.shape[:2], np.uint64)
-    for k in range(8):
-        low |= codes[..., k] << np.uint64(9 * k)
-    packed[..., :8] = low.view(np.uint8).reshape(*low.shape, 8)
-    packed[..., 8] = codes[..., 7] >> np.uint64(1)
-    stream = packed.reshape(n, -1)[:, : (9 * len(_CODES) + 7) // 8]
-    parts = [np.broadcast_to(np.frombuffer(_LEAD, np.uint8), (n, len(_LEAD)))]
-    for at in range(0, stream.shape[1], 255):
-        piece = stream[:, at : at + 255]
-        parts += [np.full((n, 1), piece.shape[1], np.uint8), piece]
-    return np.concatenate([*parts, np.zeros((n, 1), np.uint8)], 1)
+_HEAD = b"GIF89a" + struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0) + np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
+_LEAD = b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, DELAY_CS, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08"
+#: Codes of a frame that are nine bits wide: the clear code and so many data codes as fill the table to 512.
+_NARROW = 256
+_tables: list[np.ndarray] = []
+
+
+def codes_of(payload: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """LZW codes of frames of samples (n x FRAME, CODED at most), clear and end code included, and how many each frame has.
+
+    The frames are coded in step, one sample of each at a time, with a table of the strings each has seen. A frame
+    adds at most FRAME - 1 strings, so codes stay under 1024 and one clear code, the first, is enough.
+    """
+    if not _tables:
+        _tables.append(np.zeros(CODED * (258 + FRAME) * 256, np.uint16))  # left empty for the next call
+    table, n = _tables[0], len(payload)
+    base, samples = np.arange(n) * ((258 + FRAME) * 256), payload.T.astype(np.int64)
+    codes, free = np.full((FRAME + 2, n), 257, np.uint16), np.full(n, 258, np.uint16)
+    codes[0] = 256
+    count, rows, used = np.ones(n, np.int64), np.arange(n), []
+    held = samples[0]
+    for own in samples[1:]:
+        at = base + (held << 8) + own
+        longer = table[at]
+        new = longer == 0
+        codes[count[new], rows[new]] = held[new]
+        entries = at[new]
+        table[entries] = free[new]
+        used.append(entries)
+        count += new
+        free += new
+        held = np.where(new, own, longer)
+    codes[count, rows] = held
+    table[np.concatenate(used)] = 0
+    return codes.T, count + 2
+
+
+def _streams(payload: np.ndarray) -> list[bytes]:
+    """The image blocks of frames of samples."""
+    codes, count = codes_of(payload)
+    bits = np.unpackbits(np.ascontiguousarray(codes).view(np.uint8).reshape(*codes.shape, 2), axis=2, bitorder="little")
+    flat = np.concatenate([bits[:, :_NARROW, :9].reshape(len(codes), -1), bits[:, _NARROW:, :10].reshape(len(codes), -1)], 1)
+    packed = np.packbits(flat, axis=1, bitorder="little")
+    size = (9 * np.minimum(count, _NARROW) + 10 * np.maximum(0, count - _NARROW) + 7) // 8
+    out = []
+    for row, n in zip(packed, size.tolist(), strict=True):
+        stream = row[:n].tobytes()
+        out.append(_LEAD + b"".join(bytes([len(x)]) + x for x in (stream[at : at + 255] for at in range(0, n, 255))) + b"\0")
+    return out
 
 
 def text_to_gif(data: bytes) -> bytes:
@@ -316,11 +335,12 @@ def text_to_gif(data: bytes) -> bytes:
 
 
 def texts_to_gif(texts: list[bytes]) -> list[bytes]:
-    counts = np.array([max(1, -(-len(t) // FRAME)) for t in texts], np.int64)
-    payload = b"".join(t.ljust(int(c) * FRAME, b"\xff") for t, c in zip(texts, counts, strict=True))
-    rows = _streams(np.frombuffer(payload, np.uint8).reshape(-1, FRAME))
-    ends = np.cumsum(counts)
-    return [_HEAD + rows[b - c : b].tobytes() + b"\x3b" for b, c in zip(ends, counts, strict=True)]
+    counts = [max(1, -(-len(t) // FRAME)) for t in texts]
+    payload = b"".join(t.ljust(c * FRAME, b"\xff") for t, c in zip(texts, counts, strict=True))
+    frames = np.frombuffer(payload, np.uint8).reshape(-1, FRAME)
+    blocks = [x for at in range(0, len(frames), CODED) for x in _streams(frames[at : at + CODED])]
+    ends = np.cumsum(counts).tolist()
+    return [_HEAD + b"".join(blocks[b - c : b]) + b"\x3b" for b, c in zip(ends, counts, strict=True)]
 
 
 def feature(movie: Movie) -> str:
@@ -336,7 +356,7 @@ def store_and_read(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text.blocks(batches, 1 << 20):
             files, out = texts_to_gif(block.texts), []
-            for doc_id, size, data, movie in zip(block.columns["doc_id"], block.size.tolist(), files, decode(files), strict=True):
+            for doc_id, size, data, movie in zip(block.columns["doc_id"], block.size.tolist(), files, decode(files, max(MOST_PIXELS, 4 * max(map(len, block.texts)) + 4 * FRAME)), strict=True):
                 payload = movie.frames[..., 0].tobytes()
                 out.append((doc_id, size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(movie)))
             names = [x.split()[0] for x in DIGEST.split(", ")]

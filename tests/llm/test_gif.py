@@ -78,6 +78,21 @@ def test_lzw_like_the_plain_coder():
     assert [x.tobytes() for x in gif.lzw(streams, leasts, pixels)] == want
 
 
+def test_hostile_files():
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + image([0], 65535, 65535) + b"\x3b"
+    many = movie(4000, 4000, *[image([1], 1, 1)] * 40)
+    bomb = movie(2, 2, image([1] * 9000, 2, 2))
+    assert gif.decode([huge, many])[0] == "too many pixels" == gif.decode([many])[0]
+    assert gif.decode([bomb])[0].frames.shape == (1, 2, 2, 3)
+
+
+def test_stored_streams_use_the_table():
+    data = b"the cat and the dog and the cat " * 18
+    codes, count = gif.codes_of(np.frombuffer(data, np.uint8)[None])
+    assert codes.max() > 300 and count[0] < len(data) / 3
+    assert len(gif.text_to_gif(data)) < 800 + 400 and gif.decode([gif.text_to_gif(data)])[0].frames[..., 0].tobytes() == data
+
+
 def test_disposal_transparency_and_palettes():
     p = np.arange(0, 120, 10, dtype=np.uint8).reshape(4, 3)
     data = movie(
