@@ -2,8 +2,9 @@
 
 Fingerprints have five segments around a ring. If two differ in at most four bits, then from some segment on every
 chain of l segments differs in at most floor(4 l / 5) bits: none in the first, at most one in the first two, and so
-on. Two fingerprints therefore share, for some start, the first segment and one half of the second; these keys make
-the candidates, the chain budgets prune them, and the full Hamming distance decides.
+on. Two fingerprints therefore share, for some start, the first segment and one half of the second (or, for longer
+keys where there are more fingerprints, half of the halves of more segments); these keys make the candidates, the
+chain budgets prune them, and the full Hamming distance decides.
 
 Copies share a fingerprint and are one class; only classes are compared. A key held by more than CHUNK classes is
 cut into chunks by hash, and each pair of chunks is a group of its own, so no group grows without bound and no link
@@ -14,6 +15,7 @@ fingerprint zero and are linked like any other; a null doc_id is never the small
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -64,19 +66,34 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return keyed(docs).mapInArrow(run, "doc_id long, key_id long, key_text long, fp long")
 
 
-def ring_keys(fp: str = "fp"):
-    """The ten keys of a fingerprint: for each start, its segment with the lower or the upper half of the next."""
+def ring_keys(chain: int = 2, fp: str = "fp"):
+    """The keys of a fingerprint by chains of so many segments: for each start its segment, with half of the halves of the others.
+
+    A chain that keeps its budget has no differing bit in its first segment and at most chain - 1 in the others, so of
+    their 2 (chain - 1) halves as many as half have none. Keys have 18 to 20 bits for chains of two, 7 more for each
+    segment more: as many as let a key be shared by few.
+    """
     keys = []
+    part = lambda start, bits: F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << bits) - 1))
     for i, (at, width) in enumerate(zip(_OFFSETS, SEGMENTS, strict=True)):
-        nxt = (i + 1) % len(SEGMENTS)
-        low = SEGMENTS[nxt] // 2
-        seg = F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1))
-        for half, (start, bits) in enumerate(((_OFFSETS[nxt], low), (_OFFSETS[nxt] + low, SEGMENTS[nxt] - low))):
-            part = F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << bits) - 1))
-            keys.append(F.shiftleft(seg, 16) + F.shiftleft(part, 4) + F.lit(2 * i + half))
+        halves = []
+        for n in range(1, chain):
+            k = (i + n) % len(SEGMENTS)
+            low = SEGMENTS[k] // 2
+            halves += [(_OFFSETS[k], low), (_OFFSETS[k] + low, SEGMENTS[k] - low)]
+        for number, chosen in enumerate(combinations(halves, chain - 1)):
+            key = part(at, width)
+            for start, bits in chosen:
+                key = F.shiftleft(key, 7) + part(start, bits)
+            keys.append(F.shiftleft(key, 10) + F.lit(number << 3 | i))
     return F.array(*keys)
 
 
+def chain_for(classes: int) -> int:
+    """The shortest chain whose keys are shared by few of so many fingerprints."""
+    return next((n for n, most in ((2, 1 << 20), (3, 1 << 27), (4, 1 << 34)) if classes <= most), 5)
+
+
 def _budgets(start: int, bits: int) -> list[tuple[int, int]]:
     """For chains of one, two ... segments from `start`: a mask of the chain and the bits that may differ in it."""
     out, mask = [], 0
@@ -128,15 +145,15 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for key, prints in zip(batch.column("key").to_pylist(), batch.column("prints").to_pylist(), strict=True):
             values = np.array(prints, np.int64)
-            for i, j in forest(values.view(np.uint64), (key & 15) // 2):
+            for i, j in forest(values.view(np.uint64), key & 7):
                 a.append(prints[i])
                 b.append(prints[j])
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def links(prints: DataFrame, scratch: Scratch, chunk: int = CHUNK) -> DataFrame:
+def links(prints: DataFrame, scratch: Scratch, chunk: int = CHUNK, chain: int | None = None) -> DataFrame:
     """a, b: links that connect whatever fingerprints (distinct, column fp) are linked by distance."""
-    rows = prints.select("fp", F.explode(ring_keys()).alias("key"))
+    rows = prints.select("fp", F.explode(ring_keys(chain or chain_for(prints.count()))).alias("key"))
     hot = scratch.keep(rows.groupBy("key").count().where(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).alias("chunks")), "hot")
     rows = rows.join(small_enough(hot, scratch.bytes("hot")), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks"))

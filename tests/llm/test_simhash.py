@@ -68,3 +68,29 @@ def test_edges(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, fp int")
     got = sorted(((r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
     assert len(got) == 7 and {(d, c) for d, _, c in got} == {(5, 3), (3, 3), (None, 3), (9, 8), (8, 8), (None, None)}
+
+
+def test_longer_keys_find_the_same(spark):
+    rng = random.Random(12)
+    prints = {rng.getrandbits(64) for _ in range(60)}
+    for p in list(prints):
+        for _ in range(4):
+            for bit in rng.sample(range(64), rng.randint(1, 5)):
+                p ^= 1 << bit
+            prints.add(p)
+    prints = sorted(prints)
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    df = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
+
+    def components(edges):
+        label = {p: p for p in map(signed, prints)}
+        for a, b in edges:
+            old, new = label[a], label[b]
+            label = {k: new if v == old else v for k, v in label.items()}
+        return {frozenset(k for k, v in label.items() if v == own) for own in set(label.values())}
+
+    want = components((signed(a), signed(b)) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 4)
+    for chain in (2, 3, 4, 5):
+        got = simhash.links(df, simhash.Scratch(spark, "test"), chain=chain).collect()
+        assert components((r.a, r.b) for r in got) == want
+    assert [simhash.chain_for(n) for n in (1, 1 << 20, 1 << 21, 1 << 30, 1 << 40)] == [2, 2, 3, 4, 5]
