@@ -31,10 +31,12 @@ SPAN, STRIDE = 32, 16
 CHARS, WORDS, EMBED = 8, 6, 6
 #: Words with an embedding of their own: at most VOCABULARY, in at least LEAST_TEXTS texts of the sample; others share one.
 VOCABULARY, LEAST_TEXTS = 4096, 8
+#: Share of the words whose own embedding is hidden from a training step, so that their characters are learnt too.
+HIDDEN = 0.8
 #: A longer run counts as overlapping words of at most LETTERS bytes, one every half of it, that begin at a character.
 LETTERS = 32
-SAMPLE_DOCS, SAMPLE_WINDOWS = 1500, 12
-BATCH, ROUNDS, STEPS, RATE = 128, 5, 60, 0.02
+SAMPLE_DOCS, SAMPLE_WINDOWS = 1500, 48
+BATCH, ROUNDS, STEPS, RATE = 128, 7, 60, 0.02
 COLUMNS = 4096
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
@@ -256,7 +258,8 @@ def train(texts: list[list[bytes]], toxic: np.ndarray, rounds: int = ROUNDS, ste
             adam.rate = RATE * (1 - 0.9 * turn / (rounds * steps))
             turn += 1
             chosen = np.concatenate([rng.choice(positive, BATCH // 4), rng.choice(negative, BATCH - BATCH // 4)])
-            adam.step(learn(p, slot, words, windows[:, chosen], label[chosen].astype(gru.FLOAT)))
+            seen = np.where(rng.random(len(slot)) < HIDDEN, 0, slot)
+            adam.step(learn(p, seen, words, windows[:, chosen], label[chosen].astype(gru.FLOAT)))
     model = Model(p, vocabulary)
     score = model.windows(model.tables(words), windows)
     best = np.zeros(len(texts), gru.FLOAT)
