@@ -111,11 +111,14 @@ def features(block: text.Block) -> tuple[np.ndarray, np.ndarray]:
     place = np.concatenate([np.zeros(1, np.int64), np.cumsum(keep)])
     shape = text.SpanHash(kinds[keep]).of(place[starts], place[ends])
     before = np.concatenate([np.zeros(1, np.uint64), shape])[: len(shape)]
+    opening = first[:-1][np.diff(first) > 0]
+    before[opening] = 0  # a text's first word has none before it
     tail = text.SpanHash(kinds).of(np.maximum(starts, ends - 3), ends)
     length = np.minimum(ends - starts, 30).astype(np.uint64)
     word = block.word_hashes()
     again = np.zeros(len(word), np.uint64)
     again[1:] = word[1:] == word[:-1]
+    again[opening] = 0
     parts = [shape, text.mix(shape + text.mix(before)), tail ^ np.uint64(0x5BD1E995), text.mix(length + np.uint64(7919)), text.mix(again + np.uint64(104729))]
     return (np.stack(parts, 1) % np.uint64(SIZE)).astype(np.int32), first
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +38,14 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Tables written to the shared folder; they cut lineage and outlive lost executors."""
+    """Tables written to the shared folder; they cut lineage and outlive lost executors. Results read them, so they go when Python ends."""
+
+    _made: ClassVar[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         bounded_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self._made.append(self)
 
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
@@ -60,6 +66,16 @@ class Scratch:
         fs.delete(where, True)
 
 
+@atexit.register
+def clear() -> None:
+    """Removes all scratch folders of this process."""
+    while Scratch._made:
+        one = Scratch._made.pop()
+        with contextlib.suppress(Exception):  # the session may be gone
+            fs, where = one._fs(one.root)
+            fs.delete(where, True)
+
+
 def small_enough(df: DataFrame, stored: int) -> DataFrame:
     """`df` marked for broadcast if its stored form is under BROADCAST_BYTES, else `df` as it is."""
     return F.broadcast(df) if stored <= BROADCAST_BYTES else df
