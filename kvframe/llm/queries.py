@@ -56,4 +56,4 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_quality_classifier, op4_gif, op5_language_id, op6_suffix_array_dedup, op7_simhash_near_dedup, op8_byte_bpe, op9_mixing, op10_quality_rules)}
-ORACLE_SQL = {"op10_quality_rules": quality_rules.ORACLE, "op2_substring_dedup": substring_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLE_SQL = {"op10_quality_rules": quality_rules.ORACLE, "op2_substring_dedup": substring_dedup.ORACLE, "op6_suffix_array_dedup": suffix_dedup.ORACLE, "op9_mixing": mixing.ORACLE}

@@ -527,3 +527,20 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, digest: bool = False) ->
     spans = scratch.keep(ex.merged(compared.unionByName(settled)), "found")
     full = ex.with_spans(rows, spans, scratch.bytes("found"))
     return full.mapInArrow(remove_spans(digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {'kept_sha256 string' if digest else 'kept binary'}")
+
+
+#: The digest form over `documents` in DuckDB, string by string, as hexadecimal digits; texts are cut into overlapping pieces first.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, j * 512 AS base, substr(h, 1024 * j + 1, 2 * 911) AS p FROM d, unnest(range(0, length(h) // 1024 + 1)) t(j)),
+s AS (SELECT doc_id, base + i AS i, md5(substr(p, 2 * i + 1, 800)) AS g FROM c, unnest(range(0, least(512, length(p) // 2 - 399))) t(i)),
+m AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+r AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM s WHERE g IN (SELECT g FROM m)),
+k AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM k GROUP BY doc_id, run),
+ends AS (SELECT doc_id, a, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM (SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, length(h) // 2, NULL FROM d) x),
+kept AS (SELECT d.doc_id, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS rest FROM d JOIN ends ON ends.doc_id = d.doc_id GROUP BY d.doc_id),
+n AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS runs FROM spans GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256
+FROM d JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -64,6 +65,9 @@ def test_query_on_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in queries.documents(spark, sf).collect()]
     assert sorted(map(tuple, queries.op6_suffix_array_dedup(spark, sf).collect()), key=str) == brute(rows, 400)
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert sorted(db.sql(queries.ORACLE_SQL["op6_suffix_array_dedup"]).fetchall(), key=str) == brute(rows, 400)
 
 
 def doubled_ranks(spark, texts, length):
