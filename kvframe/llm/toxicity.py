@@ -32,11 +32,11 @@ CHARS, WORDS, EMBED = 8, 6, 6
 #: Words with an embedding of their own: at most VOCABULARY, in at least LEAST_TEXTS texts of the sample; others share one.
 VOCABULARY, LEAST_TEXTS = 4096, 8
 #: Share of the words whose own embedding is hidden from a training step, so that their characters are learnt too.
-HIDDEN = 0.8
+HIDDEN = 0.3
 #: A longer run counts as overlapping words of at most LETTERS bytes, one every half of it, that begin at a character.
 LETTERS = 32
-SAMPLE_DOCS, SAMPLE_WINDOWS = 1500, 48
-BATCH, ROUNDS, STEPS, RATE = 128, 7, 60, 0.02
+SAMPLE_DOCS, SAMPLE_WINDOWS = 1500, 24
+BATCH, ROUNDS, STEPS, RATE = 128, 5, 60, 0.02
 COLUMNS = 4096
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
