@@ -102,12 +102,12 @@ def parcel(name: int, fields: list[np.ndarray], listed: bytes, bits: int) -> pa.
     return pa.record_batch([pa.array(keys, pa.int32()), pa.array([name] * len(keys), pa.int64()), pa.array(values, pa.binary())], schema=PACKED)
 
 
-def sender(records: Callable[[text.Block], tuple[list[np.ndarray], np.ndarray] | None], bits: int) -> Callable:
+def sender(records: Callable[[text.Block], tuple[list[np.ndarray], np.ndarray] | None], bits: int, limit: int = text.BLOCK_BYTES) -> Callable:
     """mapInArrow function. `records` gives a block's hashes, further fields, last the place of each record, and where rows begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count = TaskContext.get().partitionId(), 0
-        for block in text.blocks(batches):
+        for block in text.blocks(batches, limit):
             got = records(block)
             if got is None or not len(got[0][0]):
                 continue

@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Rows go to Python in batches of some megabytes, however long the texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 class Scratch:

@@ -36,6 +36,8 @@ from . import text
 from .shared import Scratch, input_bytes, small_enough
 
 LENGTH = 400
+#: Bytes of text in a block; a byte takes some 100 while its anchor is found.
+BLOCK_BYTES = 1 << 19
 #: Low bits of a sort key that hold a place, so that the leftmost of equal hashes is least.
 PLACE_BITS = 24
 SEGMENT = 1 << 22
@@ -212,7 +214,7 @@ def regions(ladder: Ladder):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count, grid = TaskContext.get().partitionId(), 0, ladder.grid
-        for block in text.blocks(batches):
+        for block in text.blocks(batches, BLOCK_BYTES):
             _, anchor = _anchors(block, ladder.length)
             parts, open_, body, grids, at = [], [], [], [], 0
             for r, raw in enumerate(block.texts):
@@ -512,7 +514,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, digest: bool = False) ->
     """
     rows, scratch, ladder = ex.keyed(docs), Scratch(docs.sparkSession, "suffix"), Ladder(length)
     bits = ex.bucket_bits(input_bytes(docs), 7)
-    held = scratch.keep(ex.exchange(rows, ex.sender(stretches(length), bits - 1), 6, pick_stretches, stretch_spans, _FLAGS + 1), "stretches")
+    held = scratch.keep(ex.exchange(rows, ex.sender(stretches(length), bits - 1, BLOCK_BYTES), 6, pick_stretches, stretch_spans, _FLAGS + 1), "stretches")
     kinds = "key_id long, key_text long, spans binary"
     onward = scratch.keep(held.mapInArrow(divided(length, True), kinds), "onward")
     found = rows.join(small_enough(onward, scratch.bytes("onward")), ["key_id", "key_text"])
