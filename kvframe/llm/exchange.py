@@ -147,6 +147,7 @@ def gatherer(finish: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.nda
     """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        text.release()
         kind, values = table.column("kind").to_pylist(), table.column("data").to_pylist()
         of = lambda k: [x for x, own in zip(values, kind, strict=True) if own == k]
         picked = [unpack(x, 1)[0] for x in of(PICKS)]

@@ -290,6 +290,7 @@ def deal(bounds: np.ndarray, columns: int, lead: int):
                 held = np.flatnonzero(np.diff(cut)).tolist()
                 values = [ex.pack([x[cut[k] : cut[k + 1]] for x in rows]) for k in held]
                 yield pa.record_batch([pa.array(held, pa.int32()), pa.array([name] * len(held), pa.int64()), pa.array(values, pa.binary())], schema=ex.PACKED)
+            text.release()
 
     return run
 
@@ -366,6 +367,7 @@ def next_round(offset: int):
     """cogroup function of a block's state and ranks: the next round's state, pairs at `offset`."""
 
     def run(key: tuple, state: pa.Table, back: pa.Table) -> pa.Table:
+        text.release()
         if not state.num_rows or not back.num_rows:
             return _STATE_SCHEMA.empty_table()
         places, columns = pairs_of(*answered(state, back), [0, offset])
@@ -380,6 +382,7 @@ def cells(ladder: Ladder):
     core, cover = ladder.offsets(ladder.core), [k - ladder.grid for k in ladder.offsets(ladder.cover)]
 
     def run(key: tuple, state: pa.Table, back: pa.Table) -> pa.Table:
+        text.release()
         if not state.num_rows or not back.num_rows:
             return _STATE_SCHEMA.empty_table()
         places, ranks = answered(state, back)
@@ -405,6 +408,7 @@ def resolve(ladder: Ladder):
     """cogroup function of a block's regions with the last ranks (joined to their state): spans of strings that repeat, and records of the starts that are left."""
 
     def run(key: tuple, table: pa.Table, back: pa.Table) -> pa.Table:
+        text.release()
         held = [r for r in table.to_pylist() if r["body"] is not None]
         last = table.filter(pc.is_null(table.column("body")))
         if not held or not last.num_rows or not back.num_rows:
