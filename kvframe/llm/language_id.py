@@ -24,6 +24,8 @@ from .shared import bounded_batches
 SPAN, HIDDEN = 64, 6
 SAMPLE_DOCS, SAMPLE_WINDOWS = 500, 16
 BATCH, STEPS, RATE = 256, 220, 0.02
+#: Languages to learn at most; more is an error, as a model for each byte's language grows with them.
+MOST_LABELS = 1000
 #: Chunks scored at once.
 COLUMNS = 4096
 OUT = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -32,7 +34,9 @@ OUT = "doc_id long, held_out boolean, lang_pred string, score double"
 def sample(docs: DataFrame, per_label: int = SAMPLE_DOCS, windows: int = SAMPLE_WINDOWS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Labels in order, windows (n x SPAN bytes, 0 past the end) and each one's label, of `docs` (doc_id, text, lang)."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()}
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"over {MOST_LABELS} languages to learn")
     labels = sorted(counts)
     if not labels:
         return [], np.zeros((0, SPAN), np.uint8), np.zeros(0, np.int64)
