@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from kvframe.llm import jaccard, simhash
@@ -50,6 +51,64 @@ def test_all_pairs(spark, chunk, monkeypatch):
     assert got == want and len(want) < len(rows) - 30
 
 
+def borderline(n):
+    """Texts of one base with some words changed, of which pairs are a little above or below the threshold."""
+    rng = random.Random(11)
+    out = []
+    for k in range(n):
+        own = [f"base{j}" for j in range(120)]
+        for at in rng.sample(range(12), 2 + k % 3):
+            own[at * 10] = f"own{k}x{at}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_pairs_of_a_large_group_are_no_rows(spark, monkeypatch):
+    """Tables of pairs (a, b) hold no more rows than links of some forests, however many of a group's pairs are candidates."""
+    keep, made = jaccard.Scratch.keep, {}
+
+    def counted(self, df, name):
+        out = keep(self, df, name)
+        if out.columns == ["a", "b"] and not name.startswith("edges"):
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard.Scratch, "keep", counted)
+    rows = list(enumerate(borderline(240)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert 1 < len(want) < len(rows)
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == want
+    assert made and max(made.values()) <= 10 * len(rows), made
+    made.clear()
+    rooted = jaccard.grouped(df, jaccard.Scratch(spark, "test")).groupBy("root").agg(jaccard.F.min("doc_id").alias("d"))  # nothing proposed
+    assert sorted(r.d for r in rooted.collect()) == want
+    assert max(made.values()) <= 10 * len(rows), made
+
+
+def test_chunks_by_members(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MEMBERS", 300)
+    rows = list(enumerate(texts(6)))
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute(rows)
+
+
+def test_forest():
+    sets = jaccard.shingle_sets([t.encode() for t in [*borderline(60), *(t for t in texts(4) if (t or "").split())]])
+    pairs = {(i, j) for i in range(len(sets)) for j in range(i) if jaccard.similar(sets[i], sets[j])}
+
+    def joined(links, roots):
+        label = list(roots)
+        for i, j in links:
+            label = [label[j] if k == label[i] else k for k in label]
+        return {frozenset(i for i, k in enumerate(label) if k == own) for own in set(label)}
+
+    for some in (range(len(sets)), [i // 3 for i in range(len(sets))], [i % 7 for i in range(len(sets))]):
+        roots = np.array(list(some), np.int64)
+        edges = jaccard.forest(sets, roots)
+        assert len(edges) < len(sets) and all((max(e), min(e)) in pairs for e in edges)
+        assert joined(edges, some) == joined(pairs, some)
+
+
 def test_threshold_itself():
     a = " ".join(f"w{k}" for k in range(14))  # ten shingles
     inside, outside = f"{a} x y", f"{a} x y z"  # ten of twelve, ten of thirteen
